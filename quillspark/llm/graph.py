@@ -26,6 +26,23 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b = a[open_], b[open_]
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Positions of the links of a cheapest spanning forest over ``n`` nodes (Boruvka's rounds)."""
+    live = np.argsort(cost, kind="stable")
+    roots, chosen = np.arange(n), []
+    while True:
+        live = live[roots[a[live]] != roots[b[live]]]
+        if not len(live):
+            return np.concatenate(chosen) if chosen else live
+        ra, rb = roots[a[live]], roots[b[live]]
+        best = np.full(n, len(live))
+        np.minimum.at(best, ra, np.arange(len(live)))
+        np.minimum.at(best, rb, np.arange(len(live)))
+        pick = np.unique(best[best < len(live)])
+        chosen.append(live[pick])
+        roots = local_roots(n, ra[pick], rb[pick])[roots]
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links(a, b)``; root is the smallest node reachable.
 
