@@ -42,20 +42,22 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def tiled(rows: DataFrame, key: str, member: str, limit: int) -> DataFrame:
-    """Adds ``tile``: the bucket itself, or for a bucket of over ``limit`` rows one of several tiles.
-
-    A large bucket of c rows is dealt by a hash of ``member`` into k = ceil(c / limit) segments; tile
-    (i, j) holds segments i and j, so that every two rows meet in some tile, no tile has more than
-    about twice ``limit`` rows, and no task gets the whole bucket. Counts are aggregated before the
-    shuffle; only the few large buckets enter the join.
+    """Adds ``tile``, ``part`` and ``cross``: the bucket itself, or for a bucket of over ``limit`` rows
+    one of several tiles.
+
+    A large bucket of c rows is dealt by a hash of ``member`` into k = ceil(c / limit) parts; a tile
+    holds two parts (``cross``) or one, so that every two rows meet in some tile, no tile has more than
+    about twice ``limit`` rows, and no task gets the whole bucket. Two rows of different parts meet in
+    one cross tile, two of the same part in that part's own tile. Counts are aggregated before the
+    shuffle, and only the few large buckets enter the join.
     """
     large = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-    large = large.withColumn("_k", F.ceil(F.col("_rows") / F.lit(limit)).cast("int"))
+    large = written(large.select("_key", F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("_k")), "large")
     dealt = rows.join(large, rows[key] == large["_key"], "left")
-    segment = F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_k")).cast("int")
-    others = F.transform(
-        F.sequence(F.lit(0), F.col("_k") - 1),
-        lambda t: F.least(t, segment).cast("long") * F.col("_k") + F.greatest(t, segment),
+    part = F.coalesce(F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_k")).cast("int"), F.lit(0))
+    tiles = F.transform(
+        F.sequence(F.lit(0), F.coalesce(F.col("_k"), F.lit(1)) - 1),
+        lambda t: F.struct((F.least(t, part).cast("long") * F.coalesce(F.col("_k"), F.lit(1)) + F.greatest(t, part)).alias("tile"), (t != part).alias("cross")),
     )
-    tiles = F.when(F.col("_k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)
-    return dealt.select(*[F.col(c) for c in rows.columns], F.explode(tiles).alias("tile"))
+    spread = dealt.select(*[F.col(c) for c in rows.columns], part.alias("part"), F.explode(tiles).alias("_tile"))
+    return spread.select(*rows.columns, "part", "_tile.tile", "_tile.cross")
