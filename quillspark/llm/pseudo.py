@@ -213,7 +213,7 @@ def train(docs: DataFrame) -> tuple[list[str], Weights]:
     models = written(rows.mapInPandas(run, "model binary, n long"), "models")
     tasks = models.count()
     middle = _averaged(models.repartition(max(1, round(tasks**0.5))))
-    last = _averaged(middle.coalesce(1)).collect()
+    last = _averaged(middle.repartition(1)).collect()
     return frequent, _shaped(np.frombuffer(last[0]["model"], np.float32)) if last else start()
 
 
