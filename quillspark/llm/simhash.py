@@ -140,7 +140,7 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
 
 
-def search(bucket: np.ndarray, codes: np.ndarray, radius: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def search(bucket: np.ndarray, codes: np.ndarray, radius: int, most: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) that connect all codes of a bucket which differ in at most ``radius`` bits.
 
     ``bucket`` and ``codes`` must be sorted by bucket, then Gray rank. Every such pair is linked
