@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillspark.functions.text import CJK, folding
 
@@ -56,14 +57,15 @@ def text_of(html: str | None) -> str:
     return _WHITE.sub(" ", "".join(parser.parts)).strip(" ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(pages: pd.Series) -> pd.Series:
     return pages.map(text_of)
 
 
 def searchable(content: Column, warning: Column, media: Column) -> Column:
     """What a status is found by: its text, content warning and media descriptions."""
-    described = F.filter(F.transform(F.coalesce(media, F.array().cast("array<struct<description:string>>")), lambda m: m["description"]), lambda d: F.coalesce(d, F.lit("")) != "")
+    told = F.coalesce(F.transform(media, lambda m: m["description"]), F.array().cast("array<string>"))
+    described = F.filter(told, lambda d: F.coalesce(d, F.lit("")) != "")
     parts = F.concat(F.array(html_to_text(content)), F.array_compact(F.array(F.nullif(warning, F.lit("")))), described)
     return F.array_join(parts, " ")
 
@@ -162,7 +164,7 @@ def highlighted(html: str | None, found, folds: dict[int, str]) -> str | None:
 def highlight(html: Column, found: Column) -> Column:
     folds = str.maketrans(*folding())
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(pages: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([highlighted(p, t, folds) for p, t in zip(pages, lists, strict=True)], dtype=object)
 

@@ -20,7 +20,8 @@ def cards(hits: DataFrame, statuses: DataFrame, authors: DataFrame, instance: Co
     rows = hits.join(statuses, "uri").join(a, F.col("acct") == F.col("_acct"), "left")
     link = text.status_link(F.col("url"), instance, F.col("acct"), F.col("id"))
     name = text.display_name(F.col("_name"), F.col("acct"))
-    media = F.transform(F.coalesce("media", F.array().cast("array<struct<type:string,url:string,preview_url:string,description:string>>")), lambda m: F.struct(m["type"].alias("type"), text.media_link(m["url"], link).alias("link"), m["preview_url"].alias("preview_url"), m["description"].alias("description")))
+    shown = F.transform("media", lambda m: F.struct(m["type"].alias("type"), text.media_link(m["url"], link).alias("link"), m["preview_url"].alias("preview_url"), m["description"].alias("description")))
+    media = F.coalesce(shown, F.array().cast("array<struct<type:string,link:string,preview_url:string,description:string>>"))
     return rows.select(
         "uri",
         "score",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import is_cjk, terms, tokens, utf16_length
 from quillspark.operators.index import Index
+from quillspark.sources.place import written
 
 # The BM25+ constants, share and bound of the edit budget, weight of an inexact match.
 K, B, D = 1.2, 0.7, 0.5
@@ -90,3 +91,17 @@ def ordered(hits: DataFrame, by: str = "relevance") -> DataFrame:
     relevance = [F.desc("score"), F.asc("uri")]
     first = {"relevance": [], "newest": [F.desc("created_at")], "oldest": [F.asc("created_at")]}[by]
     return hits.orderBy(*first, *relevance)
+
+
+def ranked(hits: DataFrame, by: str = "relevance") -> DataFrame:
+    """``hits`` with ``rank`` from 1 in the order of ``ordered``, without one task that sees all rows.
+
+    Rows are dealt by ranges of the order and numbered in each; the counts of the ranges before, one
+    small row each, are added.
+    """
+    keys = {"relevance": [], "newest": [F.desc("created_at")], "oldest": [F.asc("created_at")]}[by] + [F.desc("score"), F.asc("uri")]
+    dealt = hits.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    places = written(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "ranked")
+    counts = places.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return places.join(F.broadcast(before), "_part").select(*hits.columns, (F.col("_before") + F.col("_at") + 1).alias("rank"))

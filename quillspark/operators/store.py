@@ -78,3 +78,11 @@ def tallies(types: DataFrame) -> DataFrame:
     """``(posts, favourites, bookmarks, statuses)`` in one pass; a status may count more than once."""
     has = lambda *ts: F.count_if(F.arrays_overlap("types", F.array(*[F.lit(t) for t in ts])))
     return types.agg(has("post", "boost").alias("posts"), has("favourite").alias("favourites"), has("bookmark").alias("bookmarks"), F.count(F.lit(1)).alias("statuses"))
+
+
+def pages_known(entries: DataFrame) -> DataFrame:
+    """``(page, all_known)`` for entries with a ``page`` number: whether each entry's mark came on an
+    earlier page already."""
+    first = entries.groupBy("store_key", F.col("s.uri").alias("u"), F.col("type").alias("t")).agg(F.min("page").alias("first_page"))
+    seen = entries.select("store_key", F.col("s.uri").alias("u"), F.col("type").alias("t"), "page").join(first, ["store_key", "u", "t"])
+    return seen.groupBy("page").agg(F.bool_and(F.col("first_page") < F.col("page")).alias("all_known"))
