@@ -22,7 +22,10 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df``, written there and read again."""
+    """Cuts lineage: ``df`` written there as Parquet and read again.
+
+    A later failure re-reads the table; nothing is recomputed, and no executor's own copy is needed.
+    """
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
