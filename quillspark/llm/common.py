@@ -1,36 +1,13 @@
-"""What several operators share: tables in the shared folder, column checks, salted tiles."""
+"""What several operators share: column checks and salted tiles; tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.sources.place import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests in local mode, in
-    which everything runs on one machine) a temporary folder of this machine is taken instead.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet into the shared folder and reads it again.
-
-    A later failure re-reads the table; nothing is recomputed and no executor's local copy is needed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["need", "shared_dir", "tiled", "written"]
 
 
 def need(df: DataFrame, *columns: str) -> DataFrame:

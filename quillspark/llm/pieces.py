@@ -19,6 +19,7 @@ U+2581 in a text decodes to a space, as in the format itself.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 from collections.abc import Iterator
@@ -82,6 +83,10 @@ def _merged(text: str, rank: dict[str, int]) -> list[str]:
     return parts
 
 
+#: Every byte that is not part of a character becomes a replacement character of its own.
+codecs.register_error("each-byte-replaced", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
 class _Numbers(dict):
     """Numbers words in the order of their first lookup."""
 
@@ -357,7 +362,7 @@ class Pieces:
         spoken = ids[~self.silent[ids]]
         if self.prefix and len(spoken) and self.spaced[spoken[0]]:
             raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+        return raw.decode("utf-8", "each-byte-replaced")
 
 
 #: Texts are encoded in groups of about so many code points, which bounds a task's memory.

@@ -132,6 +132,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, pen
             step[_holds(p, x)] = residual[part][_holds(p, x[part])].mean()
         logit = logit + 2 * step
     names = list(rules)
+    if not names:  # too few rows to split
+        return RuleModel(float(np.log(ones / (len(y) - ones))), ())
     hold = np.array([_holds(c, x) for c in names], float).T
     scale = np.maximum(hold.std(axis=0), 1e-3)
     z = (hold - hold.mean(axis=0)) / scale

@@ -102,14 +102,13 @@ class _Inflated:
     def more(self) -> bytes:
         """Some further inflated bytes; none at the end."""
         while True:
-            if self.engine.eof:
-                self.rest = self.engine.unused_data + self.rest
-                self.engine = zlib.decompressobj(31)
             data = self.rest or self.stream.read(_PIECE)
             if not data:
                 return b""
             out = self.engine.decompress(data, _PIECE)
             self.rest = self.engine.unconsumed_tail
+            if self.engine.eof:  # what is left belongs to the next member
+                self.rest, self.engine = self.engine.unused_data, zlib.decompressobj(31)
             if out:
                 return out
 
