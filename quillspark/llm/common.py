@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from quillspark.sources.place import shared_dir, written
 
-__all__ = ["need", "shared_dir", "tiled", "written"]
+__all__ = ["broadcast_small", "need", "shared_dir", "tiled", "written"]
+
+#: A side of at most so many rows (of 40 bytes or less) is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, to be broadcast if it has been counted to have at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def need(df: DataFrame, *columns: str) -> DataFrame:

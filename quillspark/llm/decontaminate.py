@@ -19,12 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import need, written
+from quillspark.llm.common import BROADCAST_ROWS, broadcast_small, need, written
 
 WIDTH = 5
 SHARE = 0.8
-#: A side of at most so many rows (of 40 bytes or less) is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -50,11 +48,6 @@ def shingles(of: Column, width: int) -> Column:
     return F.array_distinct(_windows(of, width, lambda ws: F.concat_ws(" ", *ws)))
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, to be broadcast if it has been counted to have few rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def sketches(items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """``(item, need, hash)``: the bottom-k sketch of each item, k by its size partition."""
     sized = items.select("item", F.array_sort(F.array_distinct(hashes(F.col("item_text"), width))).alias("all")).where("all IS NOT NULL")
@@ -73,12 +66,12 @@ def contained(docs: DataFrame, bench: DataFrame, width: int = WIDTH, share: floa
     sketch = written(sketches(items, width, share), "sketches")
     shingled = rows.select("doc_id", "text_key", hashes(F.col("text"), width).alias("all")).where("all IS NOT NULL")
     looked = shingled.select("doc_id", "text_key", F.size("all").alias("size"), F.explode("all").alias("shingle"))
-    met = looked.join(_small(sketch), (looked["shingle"] == sketch["hash"]) & (looked["size"] >= sketch["need"]))
+    met = looked.join(broadcast_small(sketch), (looked["shingle"] == sketch["hash"]) & (looked["size"] >= sketch["need"]))
     found = written(met.select("doc_id", "text_key", "item").distinct(), "candidates")
     own = items.select(F.col("item").alias("of"), shingles(F.col("item_text"), width).alias("wanted"))
-    pairs = found.join(_small(own, BROADCAST_ROWS // 100), found["item"] == own["of"])
+    pairs = found.join(broadcast_small(own, BROADCAST_ROWS // 100), found["item"] == own["of"])
     pairs = pairs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "item", "wanted")
-    texts = rows.join(_small(found.select(F.col("doc_id").alias("i"), F.col("text_key").alias("h")).distinct()), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("h")), "left_semi")
+    texts = rows.join(broadcast_small(found.select(F.col("doc_id").alias("i"), F.col("text_key").alias("h")).distinct()), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("h")), "left_semi")
     texts = written(texts.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", shingles(F.col("text"), width).alias("has")), "suspects")
     checked = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
     hits = checked.select("doc_id", "text_key", F.col("item.item_id").alias("item_id"), F.size("wanted").cast("long").alias("n_shingles"), F.size(F.array_intersect("wanted", "has")).cast("long").alias("matched"))
@@ -90,7 +83,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, width: int = WIDTH, share:
     hits = written(contained(docs, bench, width, share).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct(), "hits")
     whole = docs.select(F.struct("*").alias("row"))
     gone = F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("row.text") == F.col("k"))
-    return whole.join(_small(hits), gone, "left_anti").select("row.*")
+    return whole.join(broadcast_small(hits), gone, "left_anti").select("row.*")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

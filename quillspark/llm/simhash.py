@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import need, tiled, written
+from quillspark.llm.common import broadcast_small, need, tiled, written
 from quillspark.llm.graph import connected_components, forest
 
 FANOUT = 8
@@ -247,8 +247,13 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, bucket_rows
 PARTS, LANES, LANE_BITS, LANE_RADIUS = 12, 24, 32, 2
 
 
-def similar_links(wide: DataFrame, share: float = 0.8) -> DataFrame:
-    """Links ``(a, b)`` between nodes of ``wide(node, n, bits)`` whose estimated Jaccard is at least ``share``.
+#: Estimated similarities that are nearer to the threshold than this (three deviations) are verified.
+MARGIN = 0.06
+
+
+def similar_links(wide: DataFrame, least: float) -> DataFrame:
+    """Links ``(a, b, likeness)`` between nodes of ``wide(node, n, bits)`` of an estimated Jaccard
+    similarity of at least ``least``.
 
     The share of differing bits is the angle between the shingle sets, so it and both sizes give the
     Jaccard similarity; over all 768 bits the estimate's standard deviation is about 0.02.
@@ -264,15 +269,40 @@ def similar_links(wide: DataFrame, share: float = 0.8) -> DataFrame:
     both = met.join(left, met["a"] == left["x"]).join(right, met["b"] == right["y"])
     differ = sum((F.bit_count(F.col("bx")[k].bitwiseXOR(F.col("by")[k])) for k in range(PARTS)), F.lit(0))
     common = F.cos(differ * (np.pi / (64 * PARTS))) * F.sqrt(F.col("nx").cast("double") * F.col("ny"))
-    return both.where(common >= share * (F.col("nx") + F.col("ny") - common)).select("a", "b")
+    likeness = F.coalesce(F.try_divide(common, F.col("nx") + F.col("ny") - common), F.lit(1.0))
+    return both.select("a", "b", likeness.alias("likeness")).where(F.col("likeness") >= least)
+
+
+def verified_links(links: DataFrame, rows: DataFrame, names: DataFrame, width: int, share: float) -> DataFrame:
+    """Links ``(a, b)`` of ``links(a, b, likeness)`` that are sure, or whose shingle sets have a Jaccard
+    similarity of at least ``share``. ``names(node, doc_id, text_key)`` has a row of ``rows`` for each node."""
+    unsure = written(links.where(F.col("likeness") < share + MARGIN).select("a", "b"), "unsure")
+    asked = unsure.select(F.col("a").alias("v")).union(unsure.select("b")).distinct()
+    keys = written(names.join(asked, names["node"] == asked["v"], "left_semi").select("node", F.col("doc_id").alias("i"), F.col("text_key").alias("k")), "keys")
+    texts = rows.join(broadcast_small(keys), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))).select("node", "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for node, text in zip(pdf["node"], pdf["text"], strict=True):
+                found = list(shingle_hashes(text, width))
+                yield pd.DataFrame({"node": [node], "shingles": [np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)]})
+
+    sets = written(texts.mapInPandas(run, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    left = sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx"))
+    right = sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy"))
+    both = unsure.join(left, unsure["a"] == left["x"]).join(right, unsure["b"] == right["y"])
+    counted = both.select("a", "b", F.size(F.array_intersect("sx", "sy")).alias("common"), (F.size("sx") + F.size("sy")).alias("all"))
+    exact = counted.where(F.col("common") >= share * (F.col("all") - F.col("common"))).select("a", "b")
+    return links.where(F.col("likeness") >= share + MARGIN).select("a", "b").union(exact)
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
     """``docs`` with all columns, cut to one row of each group of near copies: that with the smallest
     doc_id (a row with a null doc_id only if all are such), of these that with the smallest text hash.
 
-    Near copies are texts whose sets of ``width``-word shingles have an estimated Jaccard similarity of
-    at least ``share``, directly or over others. Texts without words are copies of each other.
+    Near copies are texts whose sets of ``width``-word shingles have a Jaccard similarity of at least
+    ``share``, directly or over others: estimated from the fingerprints, and near the threshold verified
+    on the sets. Texts without words are copies of each other.
     """
     rows = need(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -286,7 +316,9 @@ def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
     prints = written(prints.withColumn("node", F.xxhash64("bits", "n")), "prints")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     classes = written(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(rank).alias("best")), "classes")
-    roots = connected_components(similar_links(classes.select("node", "n", "bits"), share))
+    links = written(similar_links(classes.select("node", "n", "bits"), share - MARGIN), "similar")
+    names = classes.select("node", "best.doc_id", "best.text_key")
+    roots = connected_components(verified_links(links, rows, names, width, share))
     own = classes.select(F.col("node").alias("v"), "best").join(roots, F.col("v") == F.col("node"), "left")
     chosen = written(own.groupBy(F.coalesce("root", "v").alias("group")).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("i"), F.col("best.text_key").alias("k")), "chosen")
     seen = prints.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
