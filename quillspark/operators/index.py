@@ -59,10 +59,15 @@ def save(index: Index, base: str) -> Index:
     name = uuid.uuid4().hex
     path = f"{base}/versions/{name}"
     index.docs.write.parquet(f"{path}/docs")
+    # Counted once into a staging table: dealing by ranges reads its input twice.
+    index.postings.write.parquet(f"{path}/staged")
     # Sorted by term, so that a lookup skips row groups; a hot term may span files.
-    index.postings.repartitionByRange("term", "uri").sortWithinPartitions("term", "uri").write.parquet(f"{path}/postings")
+    staged = spark.read.parquet(f"{path}/staged")
+    staged.repartitionByRange("term", "uri").sortWithinPartitions("term", "uri").write.parquet(f"{path}/postings")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/staged")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     stored = spark.read.parquet(f"{path}/postings")
-    _dictionary(stored).repartitionByRange("is_cjk", "term").sortWithinPartitions("term").write.partitionBy("is_cjk").parquet(f"{path}/terms")
+    _dictionary(stored).sortWithinPartitions("is_cjk", "term").write.partitionBy("is_cjk").parquet(f"{path}/terms")
     _meta(spark.read.parquet(f"{path}/docs")).coalesce(1).write.parquet(f"{path}/meta")
     spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{base}/current")
     return load(spark, base)
