@@ -80,9 +80,18 @@ def start(seed: int = 0) -> Weights:
     }
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _log_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row at one place."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def _hidden(w: Weights, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -100,12 +109,12 @@ def log_probabilities(w: Weights, tokens: np.ndarray, at: np.ndarray) -> np.ndar
         part = part[np.argsort(tokens[part], kind="stable")]  # the tokens of a cluster stand together
         hidden, target = _hidden(w, tokens, part), tokens[part].astype(np.int64)
         of, inner = np.divmod(target, EACH)
-        log_p = _log_softmax(hidden @ w["cluster"] + w["cluster_bias"])[np.arange(len(part)), of]
+        log_p = _log_at(hidden @ w["cluster"] + w["cluster_bias"], of)
         bounds = np.searchsorted(of, np.arange(CLUSTERS + 1))
         for c in range(CLUSTERS):
             a, b = bounds[c], bounds[c + 1]
             if a < b:
-                log_p[a:b] += _log_softmax(hidden[a:b] @ w["inner"][c] + w["inner_bias"][c])[np.arange(b - a), inner[a:b]]
+                log_p[a:b] += _log_at(hidden[a:b] @ w["inner"][c] + w["inner_bias"][c], inner[a:b])
         out[np.searchsorted(at, part)] = log_p
     return out
 
@@ -126,14 +135,14 @@ class Trainer:
         n, w = len(at), self.w
         hidden, target = _hidden(w, tokens, at), tokens[at].astype(np.int64)
         of, inner = np.divmod(target, EACH)
-        off = np.exp(_log_softmax(hidden @ w["cluster"] + w["cluster_bias"]))
+        off = _softmax(hidden @ w["cluster"] + w["cluster_bias"])
         off[np.arange(n), of] -= 1
         back = off @ w["cluster"].T
         gradient, bounds = hidden.T @ off, np.searchsorted(of, np.arange(CLUSTERS + 1))
         for c in range(CLUSTERS):
             a, b = bounds[c], bounds[c + 1]
             if a < b:
-                own = np.exp(_log_softmax(hidden[a:b] @ w["inner"][c] + w["inner_bias"][c]))
+                own = _softmax(hidden[a:b] @ w["inner"][c] + w["inner_bias"][c])
                 own[np.arange(b - a), inner[a:b]] -= 1
                 back[a:b] += own @ w["inner"][c].T
                 self._step("inner", c, hidden[a:b].T @ own / n)
