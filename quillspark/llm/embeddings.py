@@ -7,8 +7,11 @@ that holds both ends, so nothing is counted twice and no pair leaves its task: a
 class's number of links and a spanning forest. Components are then the union over all leaves.
 
 The trees are fitted on at most ``SAMPLE`` classes, those whose hash is smallest, and every class goes
-down all of them. A leaf that still is too large (a dense group that no split takes apart) is compared
-in full in tiles. A pair of cosine 0.9 or more is missed only if all ``TREES`` trees part it.
+down all of them. Where there are more classes than that, leaves that are too large are split on, each by
+a tree fitted on a sample of its own, until they are small; these trees are tables, not broadcast. A node
+is a border only: its direction follows from the leaf's number and its own. A leaf that still is too large
+(a dense group that no split takes apart) is compared in full in tiles. A pair of cosine 0.9 or more is
+missed only if all ``TREES`` trees part it.
 
 Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing, nor do
 those with a null vec_id (their component_id is null, kept false). Vectors of different lengths do
@@ -18,6 +21,8 @@ An empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +41,10 @@ SAMPLE = 16_384
 #: difference of two unit vectors of the least cosine.
 SPILL = 0.6
 
-Tree = list[tuple[np.ndarray | None, float, int, int]]  # direction (none: leaf), border, children
+#: In each leaf that is split on, about so many classes are fitted on.
+LEAF_SAMPLE = 2048
+
+Tree = list[tuple[float, int, int]]  # border and children of each node; a leaf's children are itself
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -50,41 +58,96 @@ def _band(cosine: float, size: int) -> float:
     return SPILL * np.sqrt((2 - 2 * cosine) / size)
 
 
-def grow(x: np.ndarray, each: float, cosine: float, leaf: int, random: np.random.Generator) -> Tree:
+def _way(seed: int, at: int, size: int) -> np.ndarray:
+    way = np.random.default_rng([seed % (1 << 64), at]).standard_normal(size)
+    return way / np.linalg.norm(way)
+
+
+def grow(x: np.ndarray, each: float, cosine: float, leaf: int, seed: int) -> Tree:
     """One tree over the sample ``x``, each row of which stands for ``each`` rows."""
     tree: Tree = []
     band = _band(cosine, x.shape[1])
 
     def node(rows: np.ndarray) -> int:
         at = len(tree)
-        tree.append((None, 0.0, 0, 0))
+        tree.append((0.0, at, at))
         if len(rows) * each > leaf and len(rows) >= 32:
-            way = random.standard_normal(x.shape[1])
-            way /= np.linalg.norm(way)
-            along = x[rows] @ way
+            along = x[rows] @ _way(seed, at, x.shape[1])
             border = float(np.median(along))
             low, high = rows[along <= border + band], rows[along >= border - band]
             if max(len(low), len(high)) < 0.95 * len(rows):  # else the band holds nearly all of it
-                tree[at] = (way, border, node(low), node(high))
+                tree[at] = (border, node(low), node(high))
         return at
 
     node(np.arange(len(x)))
     return tree
 
 
-def descend(tree: Tree, x: np.ndarray, band: float) -> Iterator[tuple[int, np.ndarray]]:
+def descend(tree: Tree, x: np.ndarray, band: float, seed: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each leaf and the rows that reach it."""
     stack = [(0, np.arange(len(x)))]
     while stack:
         at, rows = stack.pop()
-        way, border, low, high = tree[at]
-        if way is None:
+        border, low, high = tree[at]
+        if low == at:
             yield at, rows
         elif len(rows):
-            along = x[rows] @ way
+            along = x[rows] @ _way(seed, at, x.shape[1])
             stack += [(low, rows[along <= border + band]), (high, rows[along >= border - band])]
 
 
+def split_on(routed: DataFrame, cosine: float, leaf: int, sample: int) -> DataFrame:
+    """``routed`` with the leaves of over twice ``leaf`` rows split on while any of them can be.
+
+    A round takes the leaves that the one before made. Each is fitted on about ``sample`` of its classes,
+    drawn by hash, so no task gets a leaf; in the join of classes to trees the trees are unique.
+    """
+    made: DataFrame | None = None
+    while True:
+        sizes = routed.select(F.explode("leaves").alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * leaf)
+        sizes = written(sizes if made is None else sizes.join(made, "of", "left_semi"), "sizes")
+        if sizes.isEmpty():
+            return routed
+        placed = routed.select("node", "vector", F.explode("leaves").alias("leaf"))
+        rank = F.shiftrightunsigned(F.xxhash64("node", "leaf"), 1) / float(1 << 63)
+        shown = placed.join(sizes, F.col("leaf") == F.col("of")).where(rank * F.col("n") < sample).select("leaf", "n", "vector")
+
+        def fit(group: pd.DataFrame) -> pd.DataFrame:
+            of, n = int(group["leaf"].iloc[0]), int(group["n"].iloc[0])
+            order = sorted(range(len(group)), key=lambda k: group["vector"].iloc[k].tobytes())  # whatever the order of rows
+            tree = grow(unit(np.stack([group["vector"].iloc[k] for k in order])), n / len(group), cosine, leaf, of)
+            border, low, high = zip(*tree, strict=True)
+            return pd.DataFrame({"of": [of], "border": [list(border)], "low": [list(low)], "high": [list(high)]})
+
+        trees = shown.groupBy("leaf").applyInPandas(fit, "of long, border array<double>, low array<int>, high array<int>")
+        trees = written(trees.where(F.size("border") > 1), "trees")
+
+        def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                below: list[list[int]] = [[] for _ in range(len(pdf))]
+                for of, rows in pdf.groupby("leaf").indices.items():
+                    x = unit(np.stack(pdf["vector"].iloc[rows].to_numpy()))
+                    tree = list(zip(*(pdf[c].iloc[rows[0]].tolist() for c in ("border", "low", "high")), strict=True))
+                    for at, reached in descend(tree, x, _band(cosine, x.shape[1]), int(of)):
+                        name = _leaf_name(int(of), at)
+                        for r in rows[reached]:
+                            below[r].append(name)
+                yield pd.DataFrame({"moved": pdf["node"], "old": pdf["leaf"], "below": below})
+
+        moved = placed.join(trees, F.col("leaf") == F.col("of")).select("node", "leaf", "vector", "border", "low", "high")
+        moved = written(moved.mapInPandas(down, "moved long, old long, below array<long>"), "moved")
+        made = written(moved.select(F.explode("below").alias("of")).distinct(), "made")
+        change = moved.groupBy("moved").agg(F.collect_list("old").alias("old"), F.flatten(F.collect_list("below")).alias("below"))
+        leaves = F.when(F.col("moved").isNull(), F.col("leaves")).otherwise(F.array_sort(F.array_union(F.array_except("leaves", "old"), "below")))
+        routed = written(routed.join(change, F.col("node") == F.col("moved"), "left").select("vector", "node", "copies", leaves.alias("leaves")), "routed")
+
+
+def _leaf_name(of: int, at: int) -> int:
+    """Number of the leaf ``at`` of the tree below leaf ``of``."""
+    digest = hashlib.blake2b(struct.pack("<qq", of, at), digest_size=8).digest()
+    return struct.unpack("<q", digest)[0]
+
+
 def usable(vector: Column) -> Column:
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return F.coalesce(fine & F.exists(vector, lambda v: v != 0), F.lit(False))
@@ -135,7 +198,7 @@ def compare(group: pd.DataFrame, cosine: float) -> tuple[pd.DataFrame, pd.DataFr
     return pd.DataFrame({"a": node[some], "linked": linked[some].astype(np.int64)}), pd.DataFrame({"a": node[a[kept]], "b": node[b[kept]]})
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, leaf_sample: int = LEAF_SAMPLE) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` a row of ``vectors(vec_id, embedding)``."""
     rows = need(vectors, "vec_id", "embedding")
     fit = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
@@ -143,10 +206,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
     classes = written(classes, "classes")
     total = classes.count()
     shown = classes.orderBy(F.xxhash64("node"), "node").limit(sample).select("vector").toPandas()["vector"]
-    random, grown = np.random.default_rng(0), {}
+    grown = {}
     for size in sorted({len(v) for v in shown}):
         x = unit(np.stack([v for v in shown if len(v) == size]))
-        grown[size] = [grow(x, max(1.0, total / max(1, len(shown))), cosine, leaf, random) for _ in range(trees)]
+        grown[size] = [grow(x, max(1.0, total / max(1, len(shown))), cosine, leaf, t) for t in range(trees)]
     shared = vectors.sparkSession.sparkContext.broadcast(grown)  # grows with the sample only
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,14 +219,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
                 x, base = unit(np.stack(pdf["vector"].iloc[own].to_numpy())), int(size) << 24
-                for t, tree in enumerate(shared.value.get(int(size), [[(None, 0.0, 0, 0)]])):
-                    for at, reached in descend(tree, x, _band(cosine, int(size))):
+                for t, tree in enumerate(shared.value.get(int(size), [[(0.0, 0, 0)]])):
+                    for at, reached in descend(tree, x, _band(cosine, int(size)), t):
                         for r in own[reached]:
                             leaves[r].append((t << 48) | base | at)
             yield pdf.assign(leaves=[np.sort(np.array(v, np.int64)) for v in leaves])
 
     kind = classes.schema["vector"].dataType.simpleString()
     routed = written(classes.mapInPandas(route, f"vector {kind}, node long, copies long, leaves array<long>"), "routed")
+    if total > len(shown):
+        routed = split_on(routed, cosine, leaf, leaf_sample)
     spread = routed.select("node", "copies", "vector", "leaves", F.explode("leaves").alias("leaf"))
     dealt = tiled(spread, "leaf", "node", leaf).repartition("leaf", "tile").sortWithinPartitions("leaf", "tile")
 

@@ -41,6 +41,29 @@ def test_links_equal_brute_force(spark, leaf):
     assert sum(found[i][1] == want[i][1] for i in want) >= 0.99 * len(want)
 
 
+def test_large_leaves_are_split_on(spark):
+    """Trees fitted on a small sample, then several rounds of further splits."""
+    vectors = list(enumerate(cloud(1500, 4)))
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    found = e.near_vectors(table, leaf=24, trees=16, sample=40, leaf_sample=64).collect()
+    x = e.unit(np.array([v for _, v in vectors]))
+    near = x @ x.T >= 0.9
+    want = near.sum() - len(x)
+    links = {r["vec_id"]: r["n_links"] for r in found}
+    assert sorted(links) == list(range(1500)) and 0.98 * want <= sum(links.values()) <= want
+    assert all(links[k] < near[k].sum() for k in links)
+
+
+def test_split_on_leaves_small_leaves(spark):
+    random = np.random.default_rng(5)
+    rows = [(v.tolist(), k, 1, [7, 9] if k % 2 else [7]) for k, v in enumerate(random.standard_normal((1200, 12)).astype(np.float32))]
+    routed = spark.createDataFrame(rows, "vector array<float>, node long, copies long, leaves array<long>")
+    out = e.split_on(routed, 0.9, 100, 128).toPandas()
+    sizes = out.explode("leaves").groupby("leaves").size()
+    assert len(out) == 1200 and out["leaves"].map(len).min() >= 1
+    assert sizes.max() <= 200 and 7 not in sizes.index and 9 not in sizes.index
+
+
 def test_dense_group_is_compared_in_tiles(spark):
     random = np.random.default_rng(2)
     middle = random.standard_normal(16)
