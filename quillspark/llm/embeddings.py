@@ -41,6 +41,9 @@ SAMPLE = 16_384
 #: difference of two unit vectors of the least cosine.
 SPILL = 0.6
 
+#: A split that leaves a share p on each side multiplies rows by 2 p and divides leaves by 1 / p: it costs
+#: less than tiles of the whole leaf if 2 p < 1 / p. Beyond that a dense group would double at each level.
+WORTH = 0.7
 #: In each leaf that is split on, about so many classes are fitted on.
 LEAF_SAMPLE = 2048
 
@@ -75,7 +78,7 @@ def grow(x: np.ndarray, each: float, cosine: float, leaf: int, seed: int) -> Tre
             along = x[rows] @ _way(seed, at, x.shape[1])
             border = float(np.median(along))
             low, high = rows[along <= border + band], rows[along >= border - band]
-            if max(len(low), len(high)) < 0.95 * len(rows):  # else the band holds nearly all of it
+            if max(len(low), len(high)) < WORTH * len(rows):
                 tree[at] = (border, node(low), node(high))
         return at
 

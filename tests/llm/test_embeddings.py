@@ -64,6 +64,14 @@ def test_split_on_leaves_small_leaves(spark):
     assert sizes.max() <= 200 and 7 not in sizes.index and 9 not in sizes.index
 
 
+def test_half_dense_group_does_not_multiply():
+    """A group of which the band holds most: without the bound each level would double it."""
+    random = np.random.default_rng(6)
+    x = e.unit(np.ones(32) + 0.2 * random.standard_normal((4000, 32)))
+    tree = e.grow(x, 1.0, 0.9, 64, 0)
+    assert sum(len(rows) for _, rows in e.descend(tree, x, e._band(0.9, 32), 0)) <= 40 * len(x)
+
+
 def test_dense_group_is_compared_in_tiles(spark):
     random = np.random.default_rng(2)
     middle = random.standard_normal(16)
