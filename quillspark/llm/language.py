@@ -34,11 +34,15 @@ BUCKETS = 1 << 13
 #: landmarks of a language. Their presence bits, not their texts, reach the driver.
 PER_LANGUAGE, LANDMARKS = 240, 48
 RIDGE = 1e-2
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERLIKE = re.compile(r"[^\W\d_]")  # fractions and raised digits too
 _ODD = np.uint32(2654435769)
 _ROWS = 128
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTERLIKE.finditer(text))
+
+
 def presence(text: str) -> np.ndarray:
     """For each n-gram length, which buckets the n-grams of the whole lower-cased text fall in."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -75,7 +79,7 @@ class KernelModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score (softmax of four times the margins) of each text."""
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        spoken = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        spoken = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
         for at in range(0, len(spoken), _ROWS):
             part = spoken[at : at + _ROWS]
             margin = 4 * self.margins(np.stack([presence(texts[i]) for i in part])).astype(float)
@@ -123,7 +127,7 @@ def train_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> KernelM
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[[bool(_LETTER.search(t)) for t in pdf["text"]]]
+            pdf = pdf[[has_letter(t) for t in pdf["text"]]]
             bits = [np.packbits(presence(t)).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"lang": pdf["lang"], "rank": pdf["rank"], "bits": bits})
 

@@ -204,3 +204,8 @@ def test_scores_of_rows(spark):
 def test_vocabulary_counts_all_words(spark):
     docs = spark.createDataFrame([(1, "a B a"), (2, "b\na"), (3, None), (4, "")], "doc_id long, text string")
     assert {tuple(r) for r in pseudo.count_words(docs).collect()} == {("a", 3), ("b", 2)}
+
+
+@pytest.mark.parametrize(("text", "letter"), [("½ ² ①", False), ("12 _ !", False), ("½a", True), ("中", True), ("é", True), ("", False)])
+def test_letters(text, letter):
+    assert language.has_letter(text) == letter
