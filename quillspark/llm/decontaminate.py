@@ -19,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BROADCAST_ROWS, broadcast_small, need, written
+from quillspark.llm.common import broadcast_small, need, written
 
 WIDTH = 5
 SHARE = 0.8
+#: Items of at most so much text together are broadcast as shingles (about ``WIDTH`` times as much).
+BROADCAST_BYTES = 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -69,7 +71,8 @@ def contained(docs: DataFrame, bench: DataFrame, width: int = WIDTH, share: floa
     met = looked.join(broadcast_small(sketch), (looked["shingle"] == sketch["hash"]) & (looked["size"] >= sketch["need"]))
     found = written(met.select("doc_id", "text_key", "item").distinct(), "candidates")
     own = items.select(F.col("item").alias("of"), shingles(F.col("item_text"), width).alias("wanted"))
-    pairs = found.join(broadcast_small(own, BROADCAST_ROWS // 100), found["item"] == own["of"])
+    size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+    pairs = found.join(F.broadcast(own) if size <= BROADCAST_BYTES else own, found["item"] == own["of"])
     pairs = pairs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "item", "wanted")
     texts = rows.join(broadcast_small(found.select(F.col("doc_id").alias("i"), F.col("text_key").alias("h")).distinct()), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("h")), "left_semi")
     texts = written(texts.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", shingles(F.col("text"), width).alias("has")), "suspects")
