@@ -188,7 +188,8 @@ def near_links(codes: DataFrame, radius: int = 4, bits: int = 64, bucket_rows: i
     within ``radius`` of ``bits`` bits.
 
     Every link is such a pair; a task sends on a cheapest spanning forest of those it finds, so at most
-    one link a node and tile, whatever the size of its group.
+    one link a node and tile, whatever the size of its group. Ties go to the smallest nodes, so that
+    the tiles and lanes that see a group mostly choose the same links.
     """
     edges = np.linspace(0, bits, radius + 2).round().astype(int)
     keys = [
@@ -201,11 +202,19 @@ def near_links(codes: DataFrame, radius: int = 4, bits: int = 64, bucket_rows: i
     def links(block: np.ndarray, tile: np.ndarray, code: np.ndarray, node: np.ndarray) -> pd.DataFrame:
         own = np.cumsum(np.concatenate(([0], ((block[1:] != block[:-1]) | (tile[1:] != tile[:-1])).astype(np.int64))))
         code = code.view(np.uint64)
-        order = np.lexsort((gray_rank(code), own))
-        code, node = code[order], node[order]
-        a, b = search(own[order], code, radius)
-        kept = forest(len(code), a, b, np.bitwise_count(code[a] ^ code[b]))
-        return pd.DataFrame({"a": node[a[kept]], "b": node[b[kept]]})
+        order = np.lexsort((node, gray_rank(code), own))
+        own, code, node = own[order], code[order], node[order]
+        fresh = np.append(True, (own[1:] != own[:-1]) | (code[1:] != code[:-1]))
+        first = np.flatnonzero(fresh)
+        equal = np.flatnonzero(~fresh)  # each to the smallest node of its code
+        to = first[np.cumsum(fresh) - 1][equal]
+        own, code, least = own[first], code[first], node[first]
+        a, b = search(own, code, radius)
+        cost = np.bitwise_count(code[a] ^ code[b])
+        order = np.lexsort((np.maximum(least[a], least[b]), np.minimum(least[a], least[b]), cost))
+        a, b = a[order], b[order]
+        kept = forest(len(code), a, b, cost[order])
+        return pd.DataFrame({"a": np.concatenate((node[equal], least[a[kept]])), "b": np.concatenate((node[to], least[b[kept]]))})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
