@@ -32,6 +32,8 @@ BUCKET = 32_768
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
 _CHUNK = 1 << 16
+#: Shingles of which all lanes are counted at once; so many stay in a core's cache.
+_BLOCK = 1 << 12
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -73,20 +75,40 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(_packed(counts, n)[0])
 
 
+def lane_counts(lanes: np.ndarray) -> np.ndarray:
+    """How many hashes of each row of ``lanes`` have each of the 64 bits set.
+
+    Carry-save addition of whole words: three words of a weight give one of that weight and a carry of
+    the next, until fewer than three of a weight are left; only those are unpacked to bits.
+    """
+    counts, weight = np.zeros((len(lanes), 64), np.int64), 0
+    while lanes.shape[1]:
+        carries = []
+        while (third := lanes.shape[1] // 3) > 0:
+            x, y, z = lanes[:, :third], lanes[:, third : 2 * third], lanes[:, 2 * third : 3 * third]
+            odd = x ^ y
+            carries.append((x & y) | (odd & z))
+            lanes = np.concatenate((odd ^ z, lanes[:, 3 * third :]), axis=1)
+        bits = np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").reshape(len(lanes), -1, 64)
+        counts += bits.sum(axis=1, dtype=np.int64) << weight
+        lanes, weight = np.concatenate(carries, axis=1) if carries else lanes[:, :0], weight + 1
+    return counts
+
+
 def wide_fingerprint(text: str | None, width: int, parts: int) -> tuple[int, np.ndarray]:
     """Number of distinct shingles, and a SimHash over them of ``parts`` times 64 bits."""
     found = list(shingle_hashes(text, width))
     if not found:
         return 0, np.zeros(parts, np.uint64)
-    hashes, out = np.unique(np.concatenate(found)), []
-    for k in range(parts):
-        x = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64) if k else hashes
-        if k:
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-        out.append(_packed(bit_counts(x), len(x)))
-    return len(hashes), np.concatenate(out)
+    hashes, counts = np.unique(np.concatenate(found)), np.zeros((parts, 64), np.int64)
+    salts = np.array([(k + 1) * 0x9E3779B97F4A7C15 % 2**64 for k in range(1, parts)], np.uint64)
+    for at in range(0, len(hashes), _BLOCK):
+        own = hashes[None, at : at + _BLOCK]
+        x = own + salts[:, None]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        counts += lane_counts(np.concatenate((own, x ^ (x >> np.uint64(31)))))
+    return len(hashes), _packed(counts.ravel(), len(hashes))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:

@@ -48,6 +48,23 @@ def test_bit_counts_beyond_one_lane():
     assert simhash.bit_counts(hashes).tolist() == plain
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 8, 26, 27, 1000])
+def test_lane_counts_are_plain_counts(n):
+    lanes = np.random.default_rng(n).integers(0, 2**64, (5, n), np.uint64)
+    plain = [[sum(int(h) >> b & 1 for h in row) for b in range(64)] for row in lanes]
+    assert simhash.lane_counts(lanes).tolist() == plain
+
+
+def test_wide_fingerprint_joins_its_blocks(monkeypatch):
+    text = prose(1, size=(700, 700))[0]
+    whole = simhash.wide_fingerprint(text, 5, 24)
+    monkeypatch.setattr(simhash, "_BLOCK", 100)
+    again = simhash.wide_fingerprint(text, 5, 24)
+    assert whole[0] == again[0] > 100 and whole[1].tolist() == again[1].tolist()
+    assert simhash.wide_fingerprint(" ", 5, 24)[1].tolist() == [0] * 24
+
+
+
 @pytest.mark.parametrize("seed", range(4))
 @pytest.mark.parametrize("radius", [0, 2, 4])
 def test_search_connects_what_brute_force_connects(seed, radius):
