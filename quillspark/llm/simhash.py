@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import broadcast_small, need, tiled, written
-from quillspark.llm.graph import connected_components, forest
+from quillspark.llm.graph import connected_components, forest, local_roots
 
 FANOUT = 8
 #: Rows of a bucket beyond which it is dealt to tiles.
@@ -205,6 +205,39 @@ def search(bucket: np.ndarray, codes: np.ndarray, radius: int, most: int = 1 <<
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def _in_tiles(codes: DataFrame, radius: int, bits: int, bucket_rows: int, columns: tuple[str, ...], made, schema: str) -> DataFrame:
+    """``made(own, columns)`` over the tiles of ``codes(lane, code, node, ...)``: ``own`` numbers the rows' tiles."""
+    edges = np.linspace(0, bits, radius + 2).round().astype(int)
+    keys = [
+        (F.col("lane").cast("long") * (radius + 1) + k) * (1 << 40) + F.shiftrightunsigned(F.col("code"), int(lo)).bitwiseAND(F.lit((1 << int(hi - lo)) - 1))
+        for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))
+    ]
+    rows = codes.select(*columns, F.explode(F.array(*keys)).alias("block"))
+    dealt = tiled(rows, "block", "node", bucket_rows).repartition("block", "tile").sortWithinPartitions("block", "tile")
+
+    def of_tiles(block: np.ndarray, tile: np.ndarray, *rest: np.ndarray) -> pd.DataFrame:
+        own = np.cumsum(np.concatenate(([0], ((block[1:] != block[:-1]) | (tile[1:] != tile[:-1])).astype(np.int64))))
+        return made(own, *rest)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for pdf in batches:
+            held.append(tuple(pdf[c].to_numpy(np.int64) for c in ("block", "tile", *columns)))
+            if sum(len(h[0]) for h in held) >= 4 * bucket_rows:
+                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                block, tile = rows[:2]
+                other = np.flatnonzero((block != block[-1]) | (tile != tile[-1]))
+                if len(other):
+                    cut = int(other[-1]) + 1
+                    yield of_tiles(*(r[:cut] for r in rows))
+                    rows = [r[cut:] for r in rows]
+                held = [tuple(rows)]
+        if held:
+            yield of_tiles(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return dealt.mapInPandas(run, schema)
+
+
 def near_links(codes: DataFrame, radius: int = 4, bits: int = 64, bucket_rows: int = BUCKET) -> DataFrame:
     """Links ``(a, b)`` between nodes of ``codes(lane, code, node)`` that connect all codes of a lane
     within ``radius`` of ``bits`` bits.
@@ -213,16 +246,8 @@ def near_links(codes: DataFrame, radius: int = 4, bits: int = 64, bucket_rows: i
     one link a node and tile, whatever the size of its group. Ties go to the smallest nodes, so that
     the tiles and lanes that see a group mostly choose the same links.
     """
-    edges = np.linspace(0, bits, radius + 2).round().astype(int)
-    keys = [
-        (F.col("lane").cast("long") * (radius + 1) + k) * (1 << 40) + F.shiftrightunsigned(F.col("code"), int(lo)).bitwiseAND(F.lit((1 << int(hi - lo)) - 1))
-        for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))
-    ]
-    rows = codes.select("code", "node", F.explode(F.array(*keys)).alias("block"))
-    dealt = tiled(rows, "block", "node", bucket_rows).repartition("block", "tile").sortWithinPartitions("block", "tile")
 
-    def links(block: np.ndarray, tile: np.ndarray, code: np.ndarray, node: np.ndarray) -> pd.DataFrame:
-        own = np.cumsum(np.concatenate(([0], ((block[1:] != block[:-1]) | (tile[1:] != tile[:-1])).astype(np.int64))))
+    def links(own: np.ndarray, code: np.ndarray, node: np.ndarray) -> pd.DataFrame:
         code = code.view(np.uint64)
         order = np.lexsort((node, gray_rank(code), own))
         own, code, node = own[order], code[order], node[order]
@@ -238,23 +263,57 @@ def near_links(codes: DataFrame, radius: int = 4, bits: int = 64, bucket_rows: i
         kept = forest(len(code), a, b, cost[order])
         return pd.DataFrame({"a": np.concatenate((node[equal], least[a[kept]])), "b": np.concatenate((node[to], least[b[kept]]))})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for pdf in batches:
-            held.append(tuple(pdf[c].to_numpy(np.int64) for c in ("block", "tile", "code", "node")))
-            if sum(len(h[0]) for h in held) >= 4 * bucket_rows:
-                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-                block, tile = rows[:2]
-                other = np.flatnonzero((block != block[-1]) | (tile != tile[-1]))
-                if len(other):
-                    cut = int(other[-1]) + 1
-                    yield links(*(r[:cut] for r in rows))
-                    rows = [r[cut:] for r in rows]
-                held = [tuple(rows)]
-        if held:
-            yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    return _in_tiles(codes, radius, bits, bucket_rows, ("code", "node"), links, "a long, b long")
+
 
-    return dealt.mapInPandas(run, "a long, b long")
+def _parts(checks: np.ndarray, most: int) -> np.ndarray:
+    """Number of the connected part of each row, rows being linked that differ in at most ``most`` bits."""
+    part, rest, k = np.zeros(len(checks), np.int64), np.arange(len(checks)), 0
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        part[front[0]] = k
+        while front and len(rest):
+            near = np.bitwise_count((checks[rest] ^ checks[front.pop()]).view(np.uint64)).sum(axis=1) <= most
+            part[rest[near]] = k
+            front.extend(rest[near])
+            rest = rest[~near]
+        k += 1
+    return part
+
+
+def near_clusters(codes: DataFrame, radius: int, bits: int, most: int, bucket_rows: int = BUCKET) -> DataFrame:
+    """Clusters ``(cluster, node)`` of two nodes or more of ``codes(lane, code, node, c1, c2)``: each pair
+    of a lane within ``radius`` of ``bits`` bits, and within ``most`` bits in c1 and c2, is in one of them.
+
+    Clusters are whole: nothing is chosen among a cluster's pairs. Equal clusters of several lanes or
+    blocks have the same number. No cluster is larger than a tile.
+    """
+
+    def clusters(own: np.ndarray, code: np.ndarray, node: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> pd.DataFrame:
+        code = code.view(np.uint64)
+        order = np.lexsort((node, gray_rank(code), own))
+        own, code, node, checks = own[order], code[order], node[order], np.stack((c1[order], c2[order]), axis=1)
+        fresh = np.append(True, (own[1:] != own[:-1]) | (code[1:] != code[:-1]))
+        first = np.flatnonzero(fresh)
+        a, b = search(own[first], code[first], radius)
+        of = local_roots(len(first), a, b)[np.cumsum(fresh) - 1]
+        order = np.lexsort((node, of))
+        bounds = np.append(np.flatnonzero(np.append(True, np.diff(of[order]) != 0)), len(order))
+        names, nodes = [], []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if hi - lo == 1:
+                continue
+            rows = order[lo:hi]
+            part = _parts(checks[rows], most)
+            for k in range(part.max() + 1):
+                members = node[rows[part == k]]
+                if len(members) > 1:
+                    nodes.append(members)
+                    names.append(np.full(len(members), np.uint64(xxhash.xxh64_intdigest(members.tobytes(), SEED)).view(np.int64)))
+        none = np.zeros(0, np.int64)
+        return pd.DataFrame({"cluster": np.concatenate((none, *names)), "node": np.concatenate((none, *nodes))})
+
+    return _in_tiles(codes, radius, bits, bucket_rows, ("code", "node", "c1", "c2"), clusters, "cluster long, node long").distinct()
 
 
 def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, bucket_rows: int = BUCKET) -> DataFrame:
@@ -278,37 +337,94 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, bucket_rows
 PARTS, LANES, LANE_BITS, LANE_RADIUS = 24, 48, 32, 2
 
 
-#: Estimated similarities that are nearer to the threshold than this (four deviations) are verified.
+#: Estimated similarities that are nearer to the threshold than this are verified.
 MARGIN = 0.06
+#: Pairs of which one text has at most so many shingles are compared on their sets, whatever the estimate.
+EXACT = 0
+#: Texts of at most so many shingles are also found by prefix filtering.
+SHORT = 0
+#: Bits of 128 beyond which two codes that met in a lane are no candidates: at 0.8 about 20 differ, with a
+#: standard deviation of 4.1; of unlike texts 64 do.
+CHECKED = 40
 
 
-def similar_links(wide: DataFrame, least: float) -> DataFrame:
-    """Links ``(a, b, likeness)`` between nodes of ``wide(node, n, bits)`` of an estimated Jaccard
-    similarity of at least ``least``.
+def _size_with(n: int, share: float) -> int:
+    """Largest set that may have a Jaccard similarity of ``share`` with one of ``n``."""
+    return int(n / share + 1e-9)
 
-    The share of differing bits is the angle between the shingle sets, so it and both sizes give the
-    Jaccard similarity; over all 1,536 bits the estimate's standard deviation is about 0.014.
-    """
+
+def prefix(hashes: np.ndarray, share: float) -> np.ndarray:
+    """The smallest of the sorted distinct hashes: two sets with a Jaccard similarity of at least ``share``
+    have one of them in common."""
+    return hashes[: len(hashes) - int(np.ceil(share * len(hashes) - 1e-9)) + 1]
+
+
+def candidates(wide: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
+    """``(cluster, node)`` of ``wide(node, bits, rare)``: the pairs of each cluster are to be compared."""
     lanes = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("lane"), F.shiftrightunsigned(F.col("bits")[k // 2], LANE_BITS * (k % 2)).bitwiseAND(F.lit((1 << LANE_BITS) - 1)).alias("code"))
+        F.struct(
+            F.lit(k).alias("lane"),
+            F.shiftrightunsigned(F.col("bits")[k // 2], LANE_BITS * (k % 2)).bitwiseAND(F.lit((1 << LANE_BITS) - 1)).alias("code"),
+            F.col("bits")[(k // 2 + 8) % PARTS].alias("c1"),
+            F.col("bits")[(k // 2 + 16) % PARTS].alias("c2"),
+        )
         for k in range(LANES)
     ]))
-    codes = wide.select("node", lanes.alias("x")).select("x.lane", "x.code", "node")
-    met = written(near_links(codes, LANE_RADIUS, LANE_BITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "met")
-    left = wide.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
-    right = wide.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
-    both = met.join(left, met["a"] == left["x"]).join(right, met["b"] == right["y"])
-    differ = sum((F.bit_count(F.col("bx")[k].bitwiseXOR(F.col("by")[k])) for k in range(PARTS)), F.lit(0))
-    common = F.cos(differ * (np.pi / (64 * PARTS))) * F.sqrt(F.col("nx").cast("double") * F.col("ny"))
-    likeness = F.coalesce(F.try_divide(common, F.col("nx") + F.col("ny") - common), F.lit(1.0))
-    return both.select("a", "b", likeness.alias("likeness")).where(F.col("likeness") >= least)
-
-
-def verified_links(links: DataFrame, rows: DataFrame, names: DataFrame, width: int, share: float) -> DataFrame:
-    """Links ``(a, b)`` of ``links(a, b, likeness)`` that are sure, or whose shingle sets have a Jaccard
-    similarity of at least ``share``. ``names(node, doc_id, text_key)`` has a row of ``rows`` for each node."""
-    unsure = written(links.where(F.col("likeness") < share + MARGIN).select("a", "b"), "unsure")
-    asked = unsure.select(F.col("a").alias("v")).union(unsure.select("b")).distinct()
+    codes = wide.select("node", lanes.alias("x")).select("x.lane", "x.code", "node", "x.c1", "x.c2")
+    near = near_clusters(codes, LANE_RADIUS, LANE_BITS, CHECKED, bucket_rows)
+    rare = written(wide.select("node", F.explode("rare").alias("shingle")), "rare")
+    often = rare.groupBy(F.col("shingle").alias("s")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    dealt = tiled(rare.join(often, rare["shingle"] == often["s"], "left_semi"), "shingle", "node", bucket_rows)
+    return near.union(dealt.select(F.xxhash64("shingle", "tile").alias("cluster"), "node"))
+
+
+def compare(node: np.ndarray, n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray | None], share: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of a whole cluster: links ``(a, b)`` that connect all its pairs of a Jaccard similarity of at least
+    ``share``, and the pairs that the estimate leaves open and that no link connects.
+
+    Pairs with both sets are compared on them; others by the estimate from the share of differing bits,
+    which is the angle between the sets. Only pairs that are not connected yet are looked at.
+    """
+    has = np.array([x is not None for x in sets])
+    held = [x if x is not None else np.zeros(0, np.int64) for x in sets]
+    ends = np.cumsum([len(x) for x in held])
+    known, ids = np.unique(np.concatenate(held), return_inverse=True)
+    mark, group = np.zeros(len(known), bool), np.arange(len(node))
+    links, open_ = [], []
+    for i in range(len(node) - 1):
+        j = np.arange(i + 1, len(node))
+        j = j[(group[j] != group[i]) & (np.minimum(n[j], n[i]) >= share * np.maximum(n[j], n[i]) - 1e-9)]
+        if not len(j):
+            continue
+        both = has[j] & has[i]
+        like = np.zeros(len(j))
+        if both.any():
+            own = ids[ends[i] - len(held[i]) : ends[i]]
+            mark[own] = True
+            sums = np.concatenate(([0], np.cumsum(mark[ids])))
+            mark[own] = False
+            y = j[both]
+            common = sums[ends[y]] - sums[ends[y] - n[y]]
+            like[both] = np.where(common >= share * (n[i] + n[y] - common) - 1e-9, 2.0, 0.0)
+        if not both.all():
+            y = j[~both]
+            differ = np.bitwise_count((bits[y] ^ bits[i]).view(np.uint64)).sum(axis=1)
+            common = np.cos(differ * (np.pi / (64 * PARTS))) * np.sqrt(n[y].astype(float) * n[i])
+            like[~both] = common / (n[y] + n[i] - common)
+        sure = j[like >= share + MARGIN]
+        unsure = j[(like >= share - MARGIN) & (like < share + MARGIN)]
+        if len(sure):
+            _, at = np.unique(group[sure], return_index=True)  # one link to each group
+            links.append(np.stack((np.full(len(at), i), sure[at]), axis=1))
+            group[np.isin(group, group[sure])] = group[i]
+        if len(unsure):
+            open_.append(np.stack((np.full(len(unsure), i), unsure), axis=1))
+    return [node[x] for x in links], [node[x[group[x[:, 0]] != group[x[:, 1]]]] for x in open_]
+
+
+def shingle_sets(asked: DataFrame, rows: DataFrame, names: DataFrame, width: int) -> DataFrame:
+    """``(node, shingles)`` of the nodes of ``asked(v)``. ``names(node, doc_id, text_key)`` has a row of
+    ``rows`` for each node."""
     keys = written(names.join(asked, names["node"] == asked["v"], "left_semi").select("node", F.col("doc_id").alias("i"), F.col("text_key").alias("k")), "keys")
     texts = rows.join(broadcast_small(keys), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))).select("node", "text")
 
@@ -318,13 +434,54 @@ def verified_links(links: DataFrame, rows: DataFrame, names: DataFrame, width: i
                 found = list(shingle_hashes(text, width))
                 yield pd.DataFrame({"node": [node], "shingles": [np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)]})
 
-    sets = written(texts.mapInPandas(run, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    return written(texts.mapInPandas(run, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+
+
+def similar_links(wide: DataFrame, rows: DataFrame, names: DataFrame, width: int, share: float) -> DataFrame:
+    """Links ``(a, b)`` that connect the nodes of ``wide(node, n, bits, rare)`` of a Jaccard similarity of at
+    least ``share``. All pairs of a cluster are compared before any is left out."""
+    met = written(candidates(wide), "met")
+    asked = met.select(F.col("node").alias("v")).distinct()
+    small = wide.where(F.col("n") <= _size_with(EXACT, share)).select(F.col("node").alias("w"))
+    sets = shingle_sets(asked.join(small, asked["v"] == small["w"], "left_semi"), rows, names, width)
+    sets = sets.select(F.col("node").alias("y"), "shingles")
+    full = wide.join(asked, wide["node"] == asked["v"], "left_semi").select(F.col("node").alias("x"), "n", "bits")
+    full = written(full.join(sets, full["x"] == sets["y"], "left").select("x", "n", "bits", "shingles"), "full")
+    gathered = met.join(full, met["node"] == full["x"]).select("cluster", "node", "n", "bits", "shingles").repartition("cluster").sortWithinPartitions("cluster")
+
+    def links(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(parts).sort_values("n", kind="stable") if len(parts) > 1 else parts[0].sort_values("n", kind="stable")
+        bits = np.stack(pdf["bits"].tolist()).astype(np.int64)
+        sets = [None if x is None else np.asarray(x, np.int64) for x in pdf["shingles"]]
+        sure, open_ = compare(pdf["node"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), bits, sets, share)
+        both = np.concatenate((np.zeros((0, 2), np.int64), *sure, *open_))
+        return pd.DataFrame({"a": both.min(axis=1), "b": both.max(axis=1), "sure": np.arange(len(both)) < sum(map(len, sure))})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            cluster = pdf["cluster"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cluster)) + 1).tolist(), len(pdf)]
+            out = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and held[-1]["cluster"].iloc[0] != cluster[lo]:
+                    out.append(links(held))
+                    held = []
+                held.append(pdf.iloc[lo:hi])
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield links(held)
+
+    found = written(gathered.mapInPandas(run, "a long, b long, sure boolean").distinct(), "similar")
+    unsure = found.where("NOT sure").select("a", "b")
+    sets = shingle_sets(unsure.select(F.col("a").alias("v")).union(unsure.select("b")).distinct(), rows, names, width)
     left = sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy"))
     both = unsure.join(left, unsure["a"] == left["x"]).join(right, unsure["b"] == right["y"])
     counted = both.select("a", "b", F.size(F.array_intersect("sx", "sy")).alias("common"), (F.size("sx") + F.size("sy")).alias("all"))
-    exact = counted.where(F.col("common") >= share * (F.col("all") - F.col("common"))).select("a", "b")
-    return links.where(F.col("likeness") >= share + MARGIN).select("a", "b").union(exact)
+    exact = counted.where(F.col("common") >= share * (F.col("all") - F.col("common")) - 1e-9).select("a", "b")
+    return found.where("sure").select("a", "b").union(exact)
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
@@ -332,24 +489,28 @@ def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
     doc_id (a row with a null doc_id only if all are such), of these that with the smallest text hash.
 
     Near copies are texts whose sets of ``width``-word shingles have a Jaccard similarity of at least
-    ``share``, directly or over others: estimated from the fingerprints, and near the threshold verified
-    on the sets. Texts without words are copies of each other.
+    ``share``, directly or over others: of short texts found and compared on the sets, of long ones
+    estimated from the fingerprints, and near the threshold verified on the sets. Texts without words
+    are copies of each other.
     """
     rows = need(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind, most = rows.schema["doc_id"].dataType.simpleString(), _size_with(SHORT, share)
+
+    def rarest(text: str) -> np.ndarray:
+        return prefix(np.unique(np.concatenate(list(shingle_hashes(text, width)))), share).view(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [wide_fingerprint(t, width, PARTS) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n": [m[0] for m in made], "bits": [m[1].view(np.int64) for m in made]})
+            rare = [rarest(t) if 0 < m[0] <= most else np.zeros(0, np.int64) for t, m in zip(pdf["text"], made, strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n": [m[0] for m in made], "bits": [m[1].view(np.int64) for m in made], "rare": rare})
 
-    prints = rows.mapInPandas(run, f"doc_id {kind}, text_key long, n long, bits array<long>")
+    prints = rows.mapInPandas(run, f"doc_id {kind}, text_key long, n long, bits array<long>, rare array<long>")
     prints = written(prints.withColumn("node", F.xxhash64("bits", "n")), "prints")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    classes = written(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(rank).alias("best")), "classes")
-    links = written(similar_links(classes.select("node", "n", "bits"), share - MARGIN), "similar")
+    classes = written(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("rare").alias("rare"), F.min(rank).alias("best")), "classes")
     names = classes.select("node", "best.doc_id", "best.text_key")
-    roots = connected_components(verified_links(links, rows, names, width, share))
+    roots = connected_components(similar_links(classes.select("node", "n", "bits", "rare"), rows, names, width, share))
     own = classes.select(F.col("node").alias("v"), "best").join(roots, F.col("v") == F.col("node"), "left")
     chosen = written(own.groupBy(F.coalesce("root", "v").alias("group")).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("i"), F.col("best.text_key").alias("k")), "chosen")
     seen = prints.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")

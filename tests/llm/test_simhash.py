@@ -149,3 +149,14 @@ def test_components_of_a_long_path(spark):
 def test_forest_takes_cheap_links():
     a, b, cost = np.array([0, 0, 1, 3]), np.array([1, 2, 2, 4]), np.array([5, 1, 1, 2])
     assert sorted(forest(5, a, b, cost).tolist()) == [1, 2, 3]
+
+
+def test_keep_one_in_a_family_below_the_threshold(spark):
+    """Texts on one template, alike to less than 0.8, with near copies of 0.8 or more among them."""
+    rnd = random.Random(5)
+    head = " ".join(f"common{k}" for k in range(180))
+    own = [f"{head} " + " ".join(f"w{rnd.randrange(10**9)}" for _ in range(40)) for _ in range(2000)]
+    near = [edited(t, 0.015, k) for k, t in enumerate(own[:300])]
+    assert max(jaccard(own[0], t) for t in own[1:50]) < 0.8 and min(jaccard(a, b) for a, b in zip(own, near)) >= 0.8
+    docs = spark.createDataFrame(list(enumerate(own + near)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == list(range(2000))
