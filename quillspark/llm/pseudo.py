@@ -2,13 +2,14 @@
 
 A small network predicts every token of a text from the ``REACH`` tokens on both its sides: a learned
 vector for each place and neighbour, summed and squashed to a hidden layer, then a softmax over token
-clusters and one over the tokens of the cluster. A document's score is the sum of its tokens'
+clusters and one over the tokens of the cluster. A document's score is the sum of its words'
 conditional log-probabilities.
 
-The vocabulary follows from the counts of all words of all documents; rarer words share buckets by
-their ends. The network is trained in numpy over all documents: each task makes one pass over its rows
+The network's tokens follow from the counts of all words of all documents; rarer words share buckets by
+their ends. Within its bucket, a word has the probability of its count in the whole corpus, smoothed for
+unseen words; these counts are a table that grows with the corpus and is joined, never collected. The network is trained in numpy over all documents: each task makes one pass over its rows
 from the same start, and the results are averaged by the number of tokens, group by group on the
-executors; one model reaches the driver. Its size depends on the parameters, not on the input.
+executors; one model reaches the driver. The network's size depends on the parameters, not on the input.
 
 Null and empty texts have no token, sum 0 and a null mean. Rows are kept one for one, repeated ones
 too; texts of any length are read whole, in windows of bounded size. An empty table gives an empty
@@ -33,6 +34,10 @@ FREQUENT, RARE = 768, 256
 EDGE = FREQUENT + RARE  # stands beyond both ends of a text
 PLACES = tuple(o for o in range(-REACH, REACH + 1) if o)
 _BATCH, _CHUNK, _MEMO, PACE = 4096, 1 << 15, 500_000, 0.08
+#: What Python's split() takes as space.
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: Added to the count of each word of a bucket, and given to all unseen words of it together.
+UNSEEN = 0.5
 
 Weights = dict[str, np.ndarray]
 
@@ -66,7 +71,22 @@ class Vocabulary(dict):
 
 def count_words(docs: DataFrame) -> DataFrame:
     """``(word, n)`` over all rows."""
-    return docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def within_buckets(rows: DataFrame, frequent: list[str], counts: DataFrame) -> DataFrame:
+    """``(key, within)`` of each distinct text of ``rows(text_key, text)`` with rarer words: the mean of
+    their log-probabilities within their buckets. ``counts(word, n)`` is of the whole corpus."""
+    rare = lambda df: df.where((F.col("word") != "") & ~F.col("word").isin(frequent))
+    bucket = (F.crc32(F.encode(F.substring("word", -3, 3), "UTF-8")) % RARE).cast("int")
+    seen = rare(counts.select("word", "n")).withColumn("bucket", bucket)
+    totals = {r["bucket"]: (r["n"], r["words"]) for r in seen.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()}
+    sizes = F.array(*[F.lit(float(n + UNSEEN * (words + 1))) for n, words in (totals.get(k, (0, 0)) for k in range(RARE))])
+    table = seen.select(F.xxhash64("word").alias("seen"), "n")
+    said = rare(rows.select("text_key", F.explode(F.split(F.lower("text"), SPACE)).alias("word"))).select("text_key", F.xxhash64("word").alias("hash"), bucket.alias("bucket"))
+    met = said.join(table, said["hash"] == table["seen"], "left")
+    log_p = F.log((F.coalesce("n", F.lit(0)) + UNSEEN) / F.get(sizes, F.col("bucket")))
+    return met.groupBy(F.col("text_key").alias("key")).agg(F.avg(log_p).alias("within"))
 
 
 def start(seed: int = 0) -> Weights:
@@ -203,10 +223,10 @@ def _pieces(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str
         yield held
 
 
-def train(docs: DataFrame) -> tuple[list[str], Weights]:
-    """Vocabulary and network from all rows of ``docs(text)``."""
+def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[str], Weights]:
+    """Vocabulary and network from all rows of ``docs(text)``; ``counts`` if its words are counted already."""
     rows = need(docs, "text")
-    counts = count_words(rows)
+    counts = count_words(rows) if counts is None else counts
     frequent = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     shared = docs.sparkSession.sparkContext.broadcast((Vocabulary(frequent), start()))
 
@@ -226,9 +246,10 @@ def train(docs: DataFrame) -> tuple[list[str], Weights]:
     return frequent, _shaped(np.frombuffer(last[0]["model"], np.float32)) if last else start()
 
 
-def score(docs: DataFrame, frequent: list[str], weights: Weights) -> DataFrame:
-    """``(doc_id, n_tokens, sum_logprob, mean_logprob)`` a row."""
-    rows = need(docs, "doc_id", "text")
+def score(docs: DataFrame, frequent: list[str], weights: Weights, counts: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, n_tokens, sum_logprob, mean_logprob)`` a row: of the words, if their ``counts(word, n)``
+    in the corpus are given, otherwise of the network's tokens alone."""
+    rows = need(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast((Vocabulary(frequent), weights))
 
@@ -237,17 +258,25 @@ def score(docs: DataFrame, frequent: list[str], weights: Weights) -> DataFrame:
         for pdf in batches:
             at = 0
             for texts in _pieces(pdf["text"].tolist()):
-                tokens, counts = vocabulary.tokens(texts)
+                tokens, sizes = vocabulary.tokens(texts)
+                own, of = tokens[tokens != EDGE], np.repeat(np.arange(len(texts)), sizes)
                 log_p = log_probabilities(w, tokens, np.flatnonzero(tokens != EDGE))
-                sums = np.bincount(np.repeat(np.arange(len(texts)), counts), log_p, minlength=len(texts))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at : at + len(texts)].to_numpy(), "n_tokens": counts, "sum_logprob": sums})
+                sums = np.bincount(of, log_p, minlength=len(texts))
+                rare = np.bincount(of[own >= FREQUENT], minlength=len(texts))
+                part = pdf.iloc[at : at + len(texts)]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "text_key": part["text_key"].to_numpy(), "n_tokens": sizes, "n_rare": rare, "sum_logprob": sums})
                 at += len(texts)
 
-    made = rows.mapInPandas(run, f"doc_id {kind}, n_tokens long, sum_logprob double")
-    return made.withColumn("mean_logprob", F.try_divide("sum_logprob", "n_tokens"))
+    made = rows.mapInPandas(run, f"doc_id {kind}, text_key long, n_tokens long, n_rare long, sum_logprob double")
+    if counts is not None:
+        within = within_buckets(rows.select("text_key", "text"), frequent, counts)
+        made = made.join(within, made["text_key"] == within["key"], "left")
+        made = made.withColumn("sum_logprob", F.col("sum_logprob") + F.col("n_rare") * F.coalesce("within", F.lit(0.0)))
+    return made.select("doc_id", "n_tokens", "sum_logprob", F.try_divide("sum_logprob", "n_tokens").alias("mean_logprob"))
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:
-    """Scores of every whole text of ``documents`` under a network trained on all of them."""
+    """Scores of every whole text of ``documents`` under a model trained on all of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, *train(docs))
+    counts = written(count_words(need(docs, "text")), "counts")
+    return score(docs, *train(docs, counts), counts)

@@ -206,6 +206,32 @@ def test_vocabulary_counts_all_words(spark):
     assert {tuple(r) for r in pseudo.count_words(docs).collect()} == {("a", 3), ("b", 2)}
 
 
+def test_every_word_is_predicted(spark):
+    """The network's tokens, and each rarer word within its bucket by its count in the corpus."""
+    texts = [*ODD_TEXTS, *prose(20), "aaing bbing\x85bbing", "aaing bbing\x85bbing"]
+    docs = odd_docs(spark, texts)
+    counts = pseudo.count_words(docs)
+    frequent, w = pseudo.train(docs, counts)
+    vocabulary, n = pseudo.Vocabulary(frequent), {}
+    for r in docs.collect():
+        for word in (r["text"] or "").lower().split():
+            n[word] = n.get(word, 0) + 1
+    assert {r["word"]: r["n"] for r in counts.collect()} == n
+    rare = {x: vocabulary[x] for x in n if vocabulary[x] >= pseudo.FREQUENT}
+    size = {t: sum(n[x] + pseudo.UNSEEN for x in rare if rare[x] == t) + pseudo.UNSEEN for t in set(rare.values())}
+    alone = {r["doc_id"]: r["sum_logprob"] for r in pseudo.score(docs, frequent, w).collect()}
+    rows = pseudo.score(docs, frequent, w, counts).collect()
+    assert len(rows) == docs.count() and rare
+    for r in rows:
+        if r["doc_id"] is not None and r["doc_id"] < 90:
+            words = [x for x in (texts[r["doc_id"]] or "").lower().split() if x in rare]
+            want = alone[r["doc_id"]] + sum(np.log((n[x] + pseudo.UNSEEN) / size[rare[x]]) for x in words)
+            assert r["sum_logprob"] == pytest.approx(want, rel=1e-6)
+    new = spark.createDataFrame([(1, "zzzzing")], "doc_id long, text string")
+    extra = pseudo.score(new, frequent, w, counts).first()["sum_logprob"] - pseudo.score(new, frequent, w).first()["sum_logprob"]
+    assert extra == pytest.approx(np.log(pseudo.UNSEEN / size.get(vocabulary["zzzzing"], pseudo.UNSEEN)), abs=1e-6)
+
+
 @pytest.mark.parametrize(("text", "letter"), [("½ ² ①", False), ("12 _ !", False), ("½a", True), ("中", True), ("é", True), ("", False)])
 def test_letters(text, letter):
     assert language.has_letter(text) == letter
