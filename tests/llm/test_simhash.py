@@ -160,3 +160,16 @@ def test_keep_one_in_a_family_below_the_threshold(spark):
     assert max(jaccard(own[0], t) for t in own[1:50]) < 0.8 and min(jaccard(a, b) for a, b in zip(own, near)) >= 0.8
     docs = spark.createDataFrame(list(enumerate(own + near)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == list(range(2000))
+
+
+def test_short_texts_are_compared_on_their_sets(spark):
+    """Nine words and their first eight (0.8) are copies; two texts with 7 of 9 shingles in common are not."""
+    words = [f"w{k}" for k in range(100_000)]
+    nine = [" ".join(words[20 * k : 20 * k + 9]) for k in range(500)]
+    twelve = [" ".join(words[20_000 + 20 * k : 20_012 + 20 * k]) for k in range(500)]
+    copies = [t.rsplit(" ", 1)[0] for t in nine]
+    others = [f"{t.rsplit(' ', 1)[0]} other{k}" for k, t in enumerate(twelve)]
+    assert jaccard(nine[0], copies[0]) == 0.8 and jaccard(twelve[0], others[0]) == 7 / 9
+    docs = spark.createDataFrame(list(enumerate(nine + twelve + copies + others)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert kept == {*range(1000), *range(1500, 2000)}
