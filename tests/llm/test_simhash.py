@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from odd import edited, no_docs, odd_docs, prose
 from pyspark.sql import functions as F
 
-from quillspark.llm import simhash
+from quillspark.llm import graph, simhash
+from quillspark.llm.common import written
 from quillspark.llm.graph import connected_components, forest, local_roots
 
 
@@ -139,13 +140,33 @@ def test_keep_one_odd_rows(spark):
     assert simhash.keep_one(no_docs(spark)).collect() == []
 
 
-def test_components_of_a_long_path(spark):
-    links = spark.range(300).select(((F.col("id") * 7919) % 301).alias("a"), (((F.col("id") + 1) * 7919) % 301).alias("b"))
-    roots = connected_components(links).collect()
-    assert len(roots) == 301 and {r["root"] for r in roots} == {0}
+@pytest.mark.parametrize("step", [1, 7919])
+def test_components_of_a_long_path(spark, step, monkeypatch):
+    """A path of 1,000 links, numbered in order or scrambled, takes few rounds and plans stay short."""
+    made = []
+    monkeypatch.setattr(graph, "written", lambda df, label: made.append(label) or written(df, label))
+    links = spark.range(1000).select(((F.col("id") * step) % 1009).alias("a"), (((F.col("id") + 1) * step) % 1009).alias("b"))
+    roots = connected_components(links, few=0)
+    assert made.count("links") - 1 <= 12
+    assert str(roots._jdf.queryExecution().optimizedPlan()).count("Join") == 1
+    rows = roots.collect()
+    ids = [k * step % 1009 for k in range(1001)]
+    assert sorted(r["node"] for r in rows) == sorted(ids) and {r["root"] for r in rows} == {min(ids)}
     assert connected_components(links.where("1 = 0")).collect() == []
 
 
+@pytest.mark.parametrize("few", [0, 40, 10**6])
+def test_components_equal_brute_force(spark, few):
+    rnd = np.random.default_rng(8)
+    a, b = rnd.integers(0, 400, 260), rnd.integers(0, 400, 260)
+    a[:60], b[:60] = 7, np.arange(300, 360)  # a hub
+    links = spark.createDataFrame([(int(x) - 200, int(y) - 200) for x, y in zip(a, b)] + [(None, 3), (4, None), (150, 150)], "a long, b long")
+    want = local_roots(400, a, b)
+    own = {int(x) for x, y in zip(a, b) if x != y} | {int(y) for x, y in zip(a, b) if x != y}
+    found = {r["node"]: r["root"] for r in connected_components(links, few).collect()}
+    assert found == {k - 200: int(want[k]) - 200 for k in own}
+
+
 def test_forest_takes_cheap_links():
     a, b, cost = np.array([0, 0, 1, 3]), np.array([1, 2, 2, 4]), np.array([5, 1, 1, 2])
     assert sorted(forest(5, a, b, cost).tolist()) == [1, 2, 3]
