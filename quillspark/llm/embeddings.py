@@ -8,10 +8,13 @@ class's number of links and a spanning forest. Components are then the union ove
 
 The trees are fitted on at most ``SAMPLE`` classes, those whose hash is smallest, and every class goes
 down all of them. Where there are more classes than that, leaves that are too large are split on, each by
-a tree fitted on a sample of its own, until they are small; these trees are tables, not broadcast. A node
+a tree fitted on a sample of its own, until they are small; these trees are tables, not broadcast. A
+vector length that the sample lacks starts with as many trees of one leaf. A node
 is a border only: its direction follows from the leaf's number and its own. A leaf that still is too large
 (a dense group that no split takes apart) is compared in full in tiles. A pair of cosine 0.9 or more is
-missed only if all ``TREES`` trees part it.
+missed only if all trees part it. Their number follows from the number of classes (16 up to some
+250,000), so that the recall at the threshold stays the same: rows grow with a power of about 1.05
+of the input up to there and 1.24 beyond.
 
 Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing, nor do
 those with a null vec_id (their component_id is null, kept false). Vectors of different lengths do
@@ -24,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from math import erfc, sqrt
 
 import numpy as np
 import pandas as pd
@@ -34,12 +38,15 @@ from quillspark.llm.common import need, tiled, written
 from quillspark.llm.graph import connected_components, forest
 
 COSINE = 0.9
-TREES = 10
+#: Trees at least; and the share of pairs at the very threshold that may be parted by all trees, from
+#: which follows how many trees a larger table gets.
+TREES, MISSED = 16, 0.001
 LEAF = 1024
 SAMPLE = 16_384
 #: Half the width of the band that goes to both sides, in deviations of the projection of the
-#: difference of two unit vectors of the least cosine.
-SPILL = 0.6
+#: difference of two unit vectors of the least cosine. Spill multiplies rows at every level: with 0.1 a
+#: split keeps 0.518 of the rows on each side, so rows grow by 3.6 % a level, and more trees make up for it.
+SPILL = 0.1
 
 #: A split that leaves a share p on each side multiplies rows by 2 p and divides leaves by 1 / p: it costs
 #: less than tiles of the whole leaf if 2 p < 1 / p. Beyond that a dense group would double at each level.
@@ -50,6 +57,23 @@ LEAF_SAMPLE = 2048
 Tree = list[tuple[float, int, int]]  # border and children of each node; a leaf's children are itself
 
 
+def trees_for(classes: int, cosine: float = COSINE, leaf: int = LEAF, least: int = TREES, missed: float = MISSED) -> int:
+    """Trees by which a pair at the threshold is parted in all with a chance of at most ``missed``.
+
+    For directions that do not know the data, the projections of a pair are two normal numbers with
+    the cosine as correlation, of a spread of 1 / sqrt(size): a split parts them if they lie beyond
+    the band on both sides.
+    """
+    band = SPILL * np.sqrt(2 - 2 * cosine)
+    x = np.linspace(band, band + 8, 4001)
+    tail = np.array([0.5 * erfc((band + cosine * v) / sqrt(2 - 2 * cosine * cosine)) for v in x])
+    parted = 2 * float(np.trapezoid(np.exp(-x * x / 2) / np.sqrt(2 * np.pi) * tail, x))
+    share = 1 - 0.5 * erfc(band / sqrt(2))
+    depth = max(0.0, float(np.log(max(1, classes) / leaf) / -np.log(share)))
+    kept = (1 - parted) ** depth
+    return max(least, int(np.ceil(np.log(missed) / np.log1p(-kept)))) if kept < 1 - 1e-9 else least
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows scaled to length one, in doubles."""
     x = vectors.astype(np.float64)
@@ -201,13 +225,15 @@ def compare(group: pd.DataFrame, cosine: float) -> tuple[pd.DataFrame, pd.DataFr
     return pd.DataFrame({"a": node[some], "linked": linked[some].astype(np.int64)}), pd.DataFrame({"a": node[a[kept]], "b": node[b[kept]]})
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, leaf_sample: int = LEAF_SAMPLE) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` a row of ``vectors(vec_id, embedding)``."""
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int | None = None, leaf: int = LEAF, sample: int = SAMPLE, leaf_sample: int = LEAF_SAMPLE) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` a row of ``vectors(vec_id, embedding)``; ``trees`` by
+    ``trees_for`` the number of classes if it is not given."""
     rows = need(vectors, "vec_id", "embedding")
     fit = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
     classes = rows.where(fit).groupBy(F.col("embedding").alias("vector")).agg(F.min("vec_id").cast("long").alias("node"), F.count_distinct("vec_id").alias("copies"))
     classes = written(classes, "classes")
     total = classes.count()
+    trees = trees or trees_for(total, cosine, leaf)
     shown = classes.orderBy(F.xxhash64("node"), "node").limit(sample).select("vector").toPandas()["vector"]
     grown = {}
     for size in sorted({len(v) for v in shown}):
@@ -222,7 +248,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES,
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
                 x, base = unit(np.stack(pdf["vector"].iloc[own].to_numpy())), int(size) << 24
-                for t, tree in enumerate(shared.value.get(int(size), [[(0.0, 0, 0)]])):
+                for t, tree in enumerate(shared.value.get(int(size), [[(0.0, 0, 0)]] * trees)):
                     for at, reached in descend(tree, x, _band(cosine, int(size)), t):
                         for r in own[reached]:
                             leaves[r].append((t << 48) | base | at)

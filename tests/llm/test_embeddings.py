@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from quillspark.llm import embeddings as e
+from quillspark.llm.common import tiled
 from quillspark.llm.graph import local_roots
 
 
@@ -94,13 +96,36 @@ def test_odd_vectors(spark):
     assert e.near_vectors(table.where("1 = 0")).collect() == []
 
 
-def test_recall_of_the_check_table(spark):
-    """Whole table of the middle size against brute force."""
-    import pyarrow.parquet as pq
-
-    table = pq.read_table("/root/testdata/check_s/embeddings.parquet")
-    ids = table.column("vec_id").to_numpy()
-    x = e.unit(np.stack(table.column("embedding").to_numpy(zero_copy_only=False)))
-    want = sum(int((x[k : k + 1000] @ x.T >= 0.9).sum()) for k in range(0, len(x), 1000)) - len(x)
-    found = e.op1_embedding_dedup(spark, "/root/testdata/check_s").agg({"n_links": "sum"}).first()[0]
-    assert len(ids) == len(x) and 0.98 * want <= found <= want
+def test_number_of_trees():
+    """Grows with the input beyond the least number; a pair's chance of being parted is that of a simulation."""
+    assert e.trees_for(0) == e.trees_for(1000) == e.trees_for(200_000) == e.TREES < e.trees_for(10**7) < e.trees_for(10**9) < 100
+    random = np.random.default_rng(3)
+    u, band = random.standard_normal(10**6), e.SPILL * np.sqrt(0.2)
+    v = 0.9 * u + np.sqrt(0.19) * random.standard_normal(10**6)
+    parted, share = 2 * ((u < -band) & (v > band)).mean(), (u <= band).mean()
+    kept = (1 - parted) ** (np.log(10**9 / e.LEAF) / -np.log(share))
+    assert e.trees_for(10**9) == pytest.approx(np.log(e.MISSED) / np.log(1 - kept), rel=0.03)
+
+
+def test_recall_and_growth_at_two_sizes(spark, monkeypatch):
+    """Links against brute force over 4,000 and 16,000 vectors; copies of a vector grow slowly."""
+    copies = {}
+    for n in (4_000, 16_000):
+        vectors = cloud(n, n, size=24, spread=0.09)
+        x = e.unit(np.array(vectors))
+        want = sum(int((x[k : k + 1000] @ x.T >= 0.9).sum()) for k in range(0, n, 1000)) - n
+        seen = []
+        monkeypatch.setattr(e, "tiled", lambda rows, *a: seen.append(rows) or tiled(rows, *a))
+        table = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": vectors}), "vec_id long, embedding array<float>")
+        found = e.near_vectors(table, leaf=128, sample=2_000).agg({"n_links": "sum"}).first()[0]
+        assert want > n and 0.99 * want <= found <= want
+        copies[n] = seen[0].count() / n
+    assert copies[16_000] < 1.25 * copies[4_000]
+
+
+def test_lengths_that_the_sample_lacks(spark):
+    vectors = cloud(3_000, 9, size=12) + cloud(30, 10, size=7)
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    found = {r["vec_id"]: r["n_links"] for r in e.near_vectors(table, leaf=16, sample=20, leaf_sample=64).collect()}
+    x = e.unit(np.array(vectors[3_000:]))
+    assert [found[3_000 + k] for k in range(30)] == ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()
