@@ -8,23 +8,52 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made by this process that ``clear`` may remove.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset, as in local tests, a temporary folder."""
+    """The session's ``spark.checkpoint.dir``. Where that is unset, a temporary folder if all runs on this
+    machine, as in tests; on a cluster an error, as executors would write to disks of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local" or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         named = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder or file, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the intermediate tables that this process has written; returns how many.
+
+    To be called when no DataFrame made so far is needed any more: plans read these tables.
+    """
+    made = _MADE.copy()
+    for path in made:
+        delete(spark, path)
+        _MADE.remove(path)
+    return len(made)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: ``df`` written there as Parquet and read again.
 
     A later failure re-reads the table; nothing is recomputed, and no executor's own copy is needed.
+    ``clear`` removes the table.
     """
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
