@@ -8,8 +8,8 @@ projection without Python or shuffle.
 Null and empty texts have all statistics zero and get a score like any other. Rows are kept one for
 one, repeated ones too. Labels with a null doc_id or quality are not learned from; of several labels
 for a doc_id the mean decides (half counts as 1), of several texts one is taken. With labels of one
-value only, or none, the score is (ones + 1) / (all + 1) for every text. An empty table gives an empty
-result; further columns are ignored (``keep_quality`` hands them through).
+value only, or none, the score is (ones + 1) / (all + 2) for every text, so without labels it is 0.5 and
+nothing passes as good. An empty table gives an empty result; further columns are ignored (``keep_quality`` hands them through).
 """
 
 from __future__ import annotations
@@ -118,8 +118,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, pen
     """Learns from statistics ``x`` and labels ``y`` (0 or 1); the same input gives the same model."""
     ones = int(y.sum())
     if not 0 < ones < len(y):
-        share = (ones + 1) / (len(y) + 1)
-        return RuleModel(float(np.log(share / (1 - share))) if share < 1 else 40.0, ())
+        share = (ones + 1) / (len(y) + 2)
+        return RuleModel(float(np.log(share / (1 - share))), ())
     random = np.random.default_rng(0)
     logit, rules = np.full(len(y), np.log(ones / (len(y) - ones))), {}
     for _ in range(trees):

@@ -99,9 +99,9 @@ def test_column_equals_the_rules(spark):
 
 def test_labels_of_one_kind():
     x = np.zeros((3, len(quality.STATS)))
-    assert quality.fit_rules(x, np.ones(3)).score(x)[0] > 0.99
-    assert quality.fit_rules(x, np.zeros(3)).score(x)[0] == pytest.approx(0.25)
-    assert quality.fit_rules(x[:0], np.ones(0)).score(x)[0] > 0.99
+    assert quality.fit_rules(x, np.ones(3)).score(x)[0] == pytest.approx(0.8)
+    assert quality.fit_rules(x, np.zeros(3)).score(x)[0] == pytest.approx(0.2)
+    assert quality.fit_rules(x[:0], np.ones(0)).score(x)[0] == pytest.approx(0.5)
 
 
 def test_quality_on_held_out_rows(spark):
@@ -120,7 +120,8 @@ def test_quality_odd_rows(spark):
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
     kept = quality.keep_quality(docs, labels, 0.0)
     assert kept.columns == docs.columns and kept.count() == docs.count()
-    assert quality.keep_quality(docs, labels.where("1 = 0")).count() == docs.count()
+    assert quality.keep_quality(docs, labels.where("1 = 0"), 0.5).count() == docs.count()
+    assert quality.keep_quality(docs, labels.where("1 = 0")).count() == 0  # without evidence nothing passes
     assert quality.keep_quality(no_docs(spark), labels).count() == 0
 
 
