@@ -95,8 +95,9 @@ class _Numbers(dict):
         return n
 
 
-#: Words that a task remembers before it starts afresh, and slots for neighbours found stable or not.
-MEMO, SLOTS = 400_000, 1 << 18
+#: Of the words of at most ``_LONG`` characters, so many ids are remembered in a task before it starts afresh;
+#: longer words (an unspaced text is one) are never remembered. Slots for neighbours found stable or not.
+MEMO, SLOTS = 2_000_000, 1 << 18
 
 
 class Pieces:
@@ -176,7 +177,18 @@ class Pieces:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo, self.memo_ids, self.memo_n = _Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.memo, self.memo_ids, self.memo_ends, self.memo_used = _Numbers(), np.zeros(1 << 12, np.int32), np.zeros(1 << 10, np.int64), 0
+
+    def _remember(self, ids: np.ndarray, n: np.ndarray) -> None:
+        """Appends to arrays that double when they are full. ``memo_ends[k + 1]`` is where word k ends."""
+        used, words = self.memo_used, len(self.memo) - len(n)
+        while used + len(ids) > len(self.memo_ids):
+            self.memo_ids = np.concatenate((self.memo_ids, np.zeros_like(self.memo_ids)))
+        while len(self.memo) + 1 > len(self.memo_ends):
+            self.memo_ends = np.concatenate((self.memo_ends, np.zeros_like(self.memo_ends)))
+        self.memo_ids[used : used + len(ids)] = ids
+        self.memo_ends[words + 1 : len(self.memo) + 1] = used + np.cumsum(n)
+        self.memo_used = used + len(ids)
 
     @classmethod
     def load(cls, path: str = MODEL, kind: int | None = None) -> Pieces:
@@ -293,11 +305,12 @@ class Pieces:
         lengths = size[order]
         lo = int(np.searchsorted(lengths, 1))
         while lo < len(order):
-            n = int(lengths[lo])
+            # Long words advance with those of up to a quarter more, padded: what comes later changes no prefix.
+            n = int(lengths[lo]) if lengths[lo] <= _LONG else int(lengths[lo]) * 5 // 4
             hi = min(int(np.searchsorted(lengths, n, side="right")), lo + max(1, _CELLS // n))
-            rows = order[lo:hi]
-            codes = flat[start[rows][:, None] + np.arange(n)]
-            parts.append((rows, *self._ids(codes)))
+            rows, n = order[lo:hi], int(lengths[hi - 1])
+            codes = flat[np.minimum(start[rows][:, None] + np.arange(n), len(flat) - 1)]
+            parts.append((rows, *self._ids(codes, size[rows])))
             counts[rows] = parts[-1][2]
             lo = hi
         offset = np.cumsum(counts) - counts
@@ -307,12 +320,12 @@ class Pieces:
         per_word = np.bincount(owner, counts, minlength=len(words)).astype(np.int64)
         return ids, per_word
 
-    def _ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of equal length, row after row, and each row's number of them."""
+    def _ids(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, row after row, and each row's number of them; a row's word has ``sizes`` of its characters."""
         last, back = self._advance(codes)
         n, size = codes.shape
         used = np.zeros((n, size + 1), bool)
-        at = np.full(n, size)
+        at = sizes.copy()
         live = np.arange(n)
         while len(live):
             used[live, at[live]] = True
@@ -336,23 +349,30 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offsets of the texts in it (one more than texts)."""
-        if len(self.memo) > MEMO:
+        if self.memo_used > MEMO:
             self._forget()
         old, number, space = len(self.memo), self.memo.__getitem__, SPACE
-        places, per_text = [], np.zeros(len(texts), np.int64)
+        places, per_text, long_ = [], np.zeros(len(texts), np.int64), _Numbers()
         for i, text in enumerate(texts):
             if text:
                 words = self._cut.findall(self.prefix + text.replace(" ", space))
                 per_text[i] = len(words)
-                places.extend(map(number, words))
+                places.extend([number(w) if len(w) <= _LONG else ~long_[w] for w in words])
         if len(self.memo) > old:
-            ids, n = self._words(list(islice(self.memo, old, None)))
-            self.memo_ids, self.memo_n = np.concatenate((self.memo_ids, ids)), np.concatenate((self.memo_n, n))
-        ids, n = self.memo_ids, self.memo_n
+            self._remember(*self._words(list(islice(self.memo, old, None))))
         place = np.array(places, np.int64)
-        start = (np.cumsum(n) - n)[place]
-        out = ids[_spread(start, n[place])]
-        ends = np.concatenate(([0], np.cumsum(n[place])))[np.concatenate(([0], np.cumsum(per_text)))]
+        known = place >= 0
+        own_ids, own_n = self._words(list(long_))
+        own_ends = np.concatenate(([0], np.cumsum(own_n)))
+        # Words of this call only stand behind the remembered ones.
+        at = np.where(known, place, 0)
+        start, end = self.memo_ends[at], self.memo_ends[at + 1]
+        late = ~place[~known]
+        start[~known], end[~known] = self.memo_used + own_ends[late], self.memo_used + own_ends[late + 1]
+        n = end - start
+        ids = np.concatenate((self.memo_ids[: self.memo_used], own_ids)) if len(own_ids) else self.memo_ids
+        out = ids[_spread(start, n)]
+        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(per_text)))]
         return out, ends
 
     def decode(self, ids) -> str:

@@ -50,6 +50,27 @@ def test_memory_can_be_lost(model, library, monkeypatch):
     assert [x for k in range(0, len(texts), 20) for x in lists(model, texts[k : k + 20])] == library.encode(texts)
 
 
+def test_unspaced_texts_are_not_remembered(library, monkeypatch):
+    """Texts without spaces are one word each: they are encoded whole, and the memory stays bounded."""
+    model, rnd = Pieces.load(), random.Random(9)
+    glyphs = [chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(300)] + list("abcdefghij0123456789+/=")
+    texts = ["".join(rnd.choice(glyphs if k % 2 else "aAbBtThHeE0123456789+/") for _ in range(rnd.randint(40, 400))) for k in range(300)]
+    assert lists(model, texts) == library.encode(texts)
+    assert all(len(w) <= pieces._LONG for w in model.memo) and model.memo_used < 1000
+    monkeypatch.setattr(pieces, "MEMO", 3000)
+    for k in range(30):
+        words = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(100))]
+        assert lists(model, words) == library.encode(words)
+        assert model.memo_used < 3000 + 2000 and len(model.memo_ids) <= 1 << 14
+
+
+def test_long_words_of_near_lengths(model, library):
+    """Padded rows give what each gives alone."""
+    words = ["=" * n + "ab" * (n % 7) for n in range(40, 140)] + ["\n" * 61 + "x", "the" * 33]
+    assert lists(model, words) == library.encode(words)
+    assert lists(model, [" ".join(words)]) == library.encode([" ".join(words)])
+
+
 def test_round_trip(model, library):
     for text in strange(800, seed=3):
         ids = lists(model, [text])[0]
