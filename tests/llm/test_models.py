@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import language, pseudo, quality
 
 SF = "/root/testdata/sf0.1"
+FIT = language.fit_kernel
 
 
 # --- language ---
@@ -25,27 +26,56 @@ def plain_ngrams(text, n):
 def test_presence_counts_ngrams():
     text = "Straße ñandú, the 中国 x" * 3
     for k, n in enumerate(language.LENGTHS):
-        grams, marked = plain_ngrams(text, n), language.presence(text)[k].sum()
-        assert 0.95 * len(grams) <= marked <= len(grams)  # less only where buckets collide
-    assert not language.presence("").any()
+        grams, marked = plain_ngrams(text, n), language.presence(text)[k]
+        assert 0.97 * len(grams) <= len(marked) <= len(grams)  # less only where buckets collide
+        assert (np.diff(marked) > 0).all() and marked.max() < language.BUCKETS[k]
+    assert not any(len(b) for b in language.presence(""))
+    long = " ".join(prose(40, seed=3, size=(400, 500), vocabulary=3000))
+    assert all(np.array_equal(a, b) for a, b in zip(language.presence(long), language.presence(long + " " + long)[:1]))
 
 
 def test_scores_equal_the_kernel_form():
     """The multiplied-out matrices against kernel values, Nystroem map and ridge, step by step."""
     texts = prose(30, seed=1) + [t.upper() + " zzz qqq" for t in prose(30, seed=2, vocabulary=50)]
     langs = np.array(["a"] * 30 + ["b"] * 30)
-    bits = np.stack([language.presence(t) for t in texts])
-    model = language.fit_kernel(bits, langs, landmarks=8)
+    rows = [language.presence(t) for t in texts]
+    model = language.fit_kernel(rows, langs, landmarks=8)
     marks = [*range(8), *range(30, 38)]
-    kernel = lambda x, y: sum((p & q).sum() / np.sqrt(max(p.sum(), 1) * max(q.sum(), 1)) for p, q in zip(x, y))
-    k_mm = np.array([[kernel(bits[i], bits[j]) for j in marks] for i in marks])
-    k_nm = np.array([[kernel(b, bits[j]) for j in marks] for b in bits])
+    kernel = lambda x, y: sum(len(np.intersect1d(p, q)) / np.sqrt(max(len(p), 1) * max(len(q), 1)) for p, q in zip(x, y))
+    k_mm = np.array([[kernel(rows[i], rows[j]) for j in marks] for i in marks])
+    k_nm = np.array([[kernel(b, rows[j]) for j in marks] for b in rows])
     values, vectors = np.linalg.eigh(k_mm)
     f = k_nm @ (vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T)
     y = np.where(langs[:, None] == np.array(["a", "b"]), 1.0, -1.0)
     f0, y0 = f - f.mean(0), y - y.mean(0)
     w = np.linalg.solve(f0.T @ f0 / 30 + language.RIDGE * np.eye(16), f0.T @ y0 / 30)
-    assert np.allclose(model.margins(bits), y.mean(0) + f0 @ w, atol=2e-3)
+    assert np.allclose(model.margins(rows), y.mean(0) + f0 @ w, atol=2e-3)
+    assert np.allclose(model.margins([*rows[:2], language.presence("")])[:2], model.margins(rows)[:2], atol=1e-5)
+
+
+def test_long_texts_keep_their_language(spark):
+    """Whole texts of a million characters, joined of held-out ones of a language."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model, table = language.train_language(docs), pd.read_parquet(f"{SF}/documents.parquet")
+    table = table[[zlib.crc32(str(i).encode()) % 5 == 0 for i in table.doc_id]]
+    for lang, own in table.groupby("lang"):
+        whole = " ".join(own.text)
+        whole = (whole * (1_000_000 // len(whole) + 1))[:1_000_000]
+        names, scores = model.predict([whole, whole[:20_000]])
+        assert names == [lang, lang] and scores.min() > 0.7, (lang, scores)
+
+
+def test_many_languages_are_bounded(spark, monkeypatch):
+    """Dirty labels: the languages with the most texts are learned, from a bounded number of texts."""
+    monkeypatch.setattr(language, "LANGUAGES", 6)
+    monkeypatch.setattr(language, "TEXTS", 30)
+    monkeypatch.setattr(language, "LANDMARKS", 12)
+    seen = []
+    monkeypatch.setattr(language, "fit_kernel", lambda rows, langs: seen.append((rows, langs)) or FIT(rows, langs))
+    texts = prose(400, seed=4)
+    rows = [(k, t, f"l{k % 4}" if k < 300 else f"dirt{k}") for k, t in enumerate(texts)]
+    model = language.train_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 6 and set(model.languages) > {"l0", "l1", "l2", "l3"} and len(seen[0][0]) <= 30
 
 
 def test_language_accuracy_on_held_out_rows(spark):
