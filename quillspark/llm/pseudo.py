@@ -7,41 +7,61 @@ conditional log-probabilities.
 
 The network's tokens follow from the counts of all words of all documents; rarer words share buckets by
 their ends. Within its bucket, a word has the probability of its count in the whole corpus, smoothed for
-unseen words; these counts are a table that grows with the corpus and is joined, never collected. The network is trained in numpy over all documents: each task makes one pass over its rows
-from the same start, and the results are averaged by the number of tokens, group by group on the
-executors; one model reaches the driver. The network's size depends on the parameters, not on the input.
+unseen words; these counts are a table that grows with the corpus. Those of a bounded number of words are
+broadcast, those of all others joined, never collected.
+
+The network is trained in numpy over all documents, each of which is passed once. Documents are dealt by a
+hash of id and text into groups of about ``GROUP`` words and ordered by it, so the result follows from
+the documents alone and not from how the input is split into tasks. The groups are
+trained in ``ROUNDS``: in a round each task trains groups from the same start, the results are averaged by
+the number of tokens (in a fixed order, a few at a time, on the executors), and the next round goes on
+from there with the next groups. One model reaches the driver. The network's size depends on the
+parameters, not on the input.
 
 Null and empty texts have no token, sum 0 and a null mean. Rows are kept one for one, repeated ones
-too; texts of any length are read whole, in windows of bounded size. An empty table gives an empty
-result; further columns are ignored.
+too (rows with the same id and text are in one group, which is streamed); texts of any length are read
+whole. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import need, written
 
-REACH, HIDDEN, CLUSTERS, EACH = 2, 16, 32, 32
-#: Words with a token of their own, and buckets for the others.
-FREQUENT, RARE = 768, 256
+REACH, HIDDEN, CLUSTERS, EACH = 2, 16, 32, 64
+#: Words with a token of their own, and buckets for the others; words of which the counts are broadcast.
+FREQUENT, RARE, KNOWN = 1792, 256, 65_536
+#: Words of a group, rounds of training, and models that are averaged at once.
+GROUP, ROUNDS, FAN = 1 << 20, 2, 16
 EDGE = FREQUENT + RARE  # stands beyond both ends of a text
 PLACES = tuple(o for o in range(-REACH, REACH + 1) if o)
-_BATCH, _CHUNK, _MEMO, PACE = 4096, 1 << 15, 500_000, 0.08
-#: What Python's split() takes as space.
-SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_BATCH, _CHUNK, _MEMO, PACE = 8192, 1 << 15, 500_000, 0.08
+#: Tokens that are learned from at once, and words that a task counts before it sends them on.
+_HELD, _COUNTED = 1 << 17, 300_000
 #: Added to the count of each word of a bucket, and given to all unseen words of it together.
 UNSEEN = 0.5
 
 Weights = dict[str, np.ndarray]
 
 
+def _bucket(word: str) -> int:
+    return zlib.crc32(word[-3:].encode("utf-8", "surrogatepass")) % RARE
+
+
+def _key(word: str) -> int:
+    """Hash of a rarer word that ends in its bucket."""
+    return (xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42) & ~(RARE - 1)) | _bucket(word)
+
+
 class Vocabulary(dict):
     """Token of each word; what is looked up is remembered up to a bound."""
 
@@ -50,7 +70,7 @@ class Vocabulary(dict):
         self.words = len(self)
 
     def __missing__(self, word: str) -> int:
-        token = FREQUENT + zlib.crc32(word[-3:].encode("utf-8", "surrogatepass")) % RARE
+        token = FREQUENT + _bucket(word)
         if len(self) < _MEMO:
             self[word] = token
         return token
@@ -70,22 +90,73 @@ class Vocabulary(dict):
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """``(word, n)`` over all rows."""
-    return docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-
-def within_buckets(rows: DataFrame, frequent: list[str], counts: DataFrame) -> DataFrame:
-    """``(key, within)`` of each distinct text of ``rows(text_key, text)`` with rarer words: the mean of
-    their log-probabilities within their buckets. ``counts(word, n)`` is of the whole corpus."""
-    rare = lambda df: df.where((F.col("word") != "") & ~F.col("word").isin(frequent))
-    bucket = (F.crc32(F.encode(F.substring("word", -3, 3), "UTF-8")) % RARE).cast("int")
-    seen = rare(counts.select("word", "n")).withColumn("bucket", bucket)
-    totals = {r["bucket"]: (r["n"], r["words"]) for r in seen.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()}
-    sizes = F.array(*[F.lit(float(n + UNSEEN * (words + 1))) for n, words in (totals.get(k, (0, 0)) for k in range(RARE))])
-    table = seen.select(F.xxhash64("word").alias("seen"), "n")
-    said = rare(rows.select("text_key", F.explode(F.split(F.lower("text"), SPACE)).alias("word"))).select("text_key", F.xxhash64("word").alias("hash"), bucket.alias("bucket"))
-    met = said.join(table, said["hash"] == table["seen"], "left")
-    log_p = F.log((F.coalesce("n", F.lit(0)) + UNSEEN) / F.get(sizes, F.col("bucket")))
+    """``(word, n)`` over all rows of ``docs(text)``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter[str] = Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                found.update((text or "").lower().split())
+                if len(found) > _COUNTED:
+                    yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+                    found = Counter()
+        yield pd.DataFrame({"word": list(found), "n": list(found.values())}).astype({"word": object, "n": "int64"})
+
+    return need(docs, "text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Shares(dict):
+    """Log-probability within its bucket of each word whose count is broadcast: 0 for words with a token
+    of their own, not a number for all others."""
+
+    def __missing__(self, word: str) -> float:
+        return np.nan
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
+        """Sum of each text, and the keys of its words without a share."""
+        sums, rest, look = np.zeros(len(texts)), [], self.__getitem__
+        for k, text in enumerate(texts):
+            words = (text or "").lower().split()
+            shares = np.fromiter(map(look, words), float, len(words))
+            none = np.isnan(shares)
+            sums[k] = shares[~none].sum()
+            rest.append([_signed(_key(words[i])) for i in np.flatnonzero(none).tolist()])
+        return sums, rest
+
+
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
+
+
+def bucket_sizes(counts: DataFrame, frequent: list[str]) -> np.ndarray:
+    """Smoothed count of all words of each bucket. ``counts(word, n)`` is of the whole corpus."""
+    seen = counts.where(~F.col("word").isin(frequent)).select(_bucket_of(F.col("word")).alias("bucket"), "n")
+    sizes = np.full(RARE, UNSEEN)
+    for r in seen.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        sizes[r["bucket"]] += r["n"] + UNSEEN * r["words"]
+    return sizes
+
+
+def _bucket_of(word: Column) -> Column:
+    return (F.crc32(F.encode(F.substring(word, -3, 3), "UTF-8")) % RARE).cast("int")
+
+
+def known_shares(counts: DataFrame, frequent: list[str], sizes: np.ndarray) -> Shares:
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    shares = Shares((r["word"], float(np.log((r["n"] + UNSEEN) / sizes[_bucket(r["word"])]))) for r in top)
+    shares.update(dict.fromkeys(frequent[:FREQUENT], 0.0))
+    return shares
+
+
+def rest_shares(rest: DataFrame, counts: DataFrame, sizes: np.ndarray) -> DataFrame:
+    """``(key, within)`` of the texts of ``rest(text_key, rest)`` with words of which the counts are not
+    broadcast: the mean of their log-probabilities within their buckets."""
+    keyed = F.xxhash64("word").bitwiseAND(F.lit(-RARE)).bitwiseOR(_bucket_of(F.col("word")).cast("long"))
+    table = counts.select(keyed.alias("seen"), F.log(F.col("n") + UNSEEN).alias("log_n"))
+    said = rest.select("text_key", F.explode("rest").alias("word_key"))
+    met = said.join(table, said["word_key"] == table["seen"], "left")
+    log_size = F.get(F.array(*[F.lit(float(x)) for x in np.log(sizes)]), F.col("word_key").bitwiseAND(F.lit(RARE - 1)).cast("int"))
+    log_p = F.coalesce("log_n", F.lit(float(np.log(UNSEEN)))) - log_size
     return met.groupBy(F.col("text_key").alias("key")).agg(F.avg(log_p).alias("within"))
 
 
@@ -140,11 +211,11 @@ def log_probabilities(w: Weights, tokens: np.ndarray, at: np.ndarray) -> np.ndar
 
 
 class Trainer:
-    """One pass of adaptive gradient steps."""
+    """Adaptive gradient steps from given weights, and from the squared gradients seen so far."""
 
-    def __init__(self, weights: Weights) -> None:
+    def __init__(self, weights: Weights, seen: Weights | None = None) -> None:
         self.w = {k: v.copy() for k, v in weights.items()}
-        self.seen = {k: np.full_like(v, 1e-6) for k, v in weights.items()}
+        self.seen = {k: v.copy() for k, v in seen.items()} if seen else {k: np.full_like(v, 1e-6) for k, v in weights.items()}
 
     def _step(self, name: str, where, gradient: np.ndarray) -> None:
         self.seen[name][where] += gradient * gradient
@@ -196,19 +267,28 @@ def _shaped(flat: np.ndarray) -> Weights:
     return out
 
 
-def _averaged(models: DataFrame) -> DataFrame:
-    """One row for each partition: the mean of its models, weighed by their tokens."""
+def _averaged(models: DataFrame, n: int) -> DataFrame:
+    """The mean of the models ``(at, model, n)`` with ``at`` from 0 to n - 1, weighed by their tokens: some
+    that follow one another are averaged at once, in their order, until one is left."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = None, 0
+        at, total, n = None, None, 0
         for pdf in batches:
-            for raw, k in zip(pdf["model"], pdf["n"].tolist(), strict=True):
-                part = np.frombuffer(raw, np.float32).astype(float) * k
-                total, n = part if total is None else total + part, n + k
+            for k, raw, own in zip((pdf["at"] // FAN).tolist(), pdf["model"], pdf["n"].tolist(), strict=True):
+                if k != at and n:
+                    yield pd.DataFrame({"at": [at], "model": [(total / n).astype(np.float32).tobytes()], "n": [n]})
+                    total, n = None, 0
+                part = np.frombuffer(raw, np.float32).astype(float) * own
+                at, total, n = k, part if total is None else total + part, n + own
         if n:
-            yield pd.DataFrame({"model": [(total / n).astype(np.float32).tobytes()], "n": [n]})
+            yield pd.DataFrame({"at": [at], "model": [(total / n).astype(np.float32).tobytes()], "n": [n]})
 
-    return models.mapInPandas(run, "model binary, n long")
+    while n > 1:
+        n = -(-n // FAN)
+        parts = min(n, MOST_TASKS)
+        models = models.repartitionById(parts, (F.floor(F.col("at") / FAN) % parts).cast("int")).sortWithinPartitions("at")
+        models = written(models.mapInPandas(run, "at long, model binary, n long"), "models")
+    return models
 
 
 def _pieces(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str | None]]:
@@ -223,27 +303,72 @@ def _pieces(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str
         yield held
 
 
+#: Tasks of a round at most; beyond, a task trains several groups one after another.
+MOST_TASKS = 100_000
+
+
 def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[str], Weights]:
-    """Vocabulary and network from all rows of ``docs(text)``; ``counts`` if its words are counted already."""
-    rows = need(docs, "text")
+    """Vocabulary and network from all rows of ``docs(doc_id, text)``; ``counts`` if its words are counted already."""
+    rows = need(docs, "doc_id", "text")
     counts = count_words(rows) if counts is None else counts
+    counts = counts.select("word", "n")
     frequent = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast((Vocabulary(frequent), start()))
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    groups = -(-words // GROUP)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(frequent))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, weights = shared.value
-        trainer, n = Trainer(weights), 0
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for texts in _pieces(pdf["text"].tolist()):
-                n += trainer.learn(vocabulary.tokens(texts)[0])
-        if n:
-            yield pd.DataFrame({"model": [_flat(trainer.w).tobytes()], "n": [n]})
-
-    models = written(rows.mapInPandas(run, "model binary, n long"), "models")
-    tasks = models.count()
-    middle = _averaged(models.repartition(max(1, round(tasks**0.5))))
-    last = _averaged(middle.repartition(1)).collect()
-    return frequent, _shaped(np.frombuffer(last[0]["model"], np.float32)) if last else start()
+            made = []
+            for text in pdf["text"]:
+                tokens, n = shared.value.tokens([text])
+                made.append(tokens[REACH:].tobytes() if n[0] else None)
+            yield pd.DataFrame({"key": pdf["key"], "tokens": made})
+
+    keyed = rows.where("text IS NOT NULL").select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"), "text")
+    encoded = keyed.mapInPandas(encode, "key long, tokens binary").where("tokens IS NOT NULL")
+    encoded = written(encoded.withColumn("grp", F.pmod(F.col("key"), F.lit(max(1, groups)))), "tokens")
+    weights, seen = start(), None
+    for r in range(ROUNDS):
+        lo, hi = groups * r // ROUNDS, groups * (r + 1) // ROUNDS
+        if lo == hi:
+            continue
+        begin = docs.sparkSession.sparkContext.broadcast((weights, seen))
+
+        def learn(batches: Iterator[pd.DataFrame], begin=begin, lo=lo) -> Iterator[pd.DataFrame]:
+            trainer, at, n, held, size = None, None, 0, [], 0
+            edge = np.full(REACH, EDGE, np.uint16)
+
+            for pdf in batches:
+                for grp, raw in zip(pdf["grp"].tolist(), pdf["tokens"], strict=True):
+                    if grp != at:
+                        if trainer is not None:
+                            yield finished(trainer, at - lo, n, edge, held)
+                        trainer, at, n, held, size = Trainer(*begin.value), grp, 0, [], 0
+                    held.append(np.frombuffer(raw, np.uint16))
+                    size += len(held[-1])
+                    if size >= _HELD:
+                        n += trainer.learn(np.concatenate((edge, *held)))
+                        held, size = [], 0
+            if trainer is not None:
+                yield finished(trainer, at - lo, n, edge, held)
+
+        parts = min(hi - lo, MOST_TASKS)
+        own = encoded.where((F.col("grp") >= lo) & (F.col("grp") < hi))
+        dealt = own.repartitionById(parts, ((F.col("grp") - lo) % parts).cast("int")).sortWithinPartitions("grp", "key")
+        models = written(dealt.mapInPandas(learn, "at long, model binary, n long"), "models")
+        last = _averaged(models, hi - lo).collect()
+        if last:
+            flat = np.frombuffer(last[0]["model"], np.float32)
+            weights, seen = _shaped(flat[: len(flat) // 2]), _shaped(flat[len(flat) // 2 :])
+    return frequent, weights
+
+
+def finished(trainer: Trainer, at: int, n: int, edge: np.ndarray, held: list[np.ndarray]) -> pd.DataFrame:
+    """A group's model, after what is still held has been learned."""
+    if held:
+        n += trainer.learn(np.concatenate((edge, *held)))
+    return pd.DataFrame({"at": [at], "model": [np.concatenate((_flat(trainer.w), _flat(trainer.seen))).tobytes()], "n": [n]})
 
 
 def score(docs: DataFrame, frequent: list[str], weights: Weights, counts: DataFrame | None = None) -> DataFrame:
@@ -251,27 +376,31 @@ def score(docs: DataFrame, frequent: list[str], weights: Weights, counts: DataFr
     in the corpus are given, otherwise of the network's tokens alone."""
     rows = need(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((Vocabulary(frequent), weights))
+    sizes = bucket_sizes(counts, frequent) if counts is not None else None
+    shares = known_shares(counts, frequent, sizes) if counts is not None else None
+    shared = docs.sparkSession.sparkContext.broadcast((Vocabulary(frequent), weights, shares))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, w = shared.value
+        vocabulary, w, shares = shared.value
         for pdf in batches:
             at = 0
             for texts in _pieces(pdf["text"].tolist()):
-                tokens, sizes = vocabulary.tokens(texts)
-                own, of = tokens[tokens != EDGE], np.repeat(np.arange(len(texts)), sizes)
+                tokens, n = vocabulary.tokens(texts)
                 log_p = log_probabilities(w, tokens, np.flatnonzero(tokens != EDGE))
-                sums = np.bincount(of, log_p, minlength=len(texts))
-                rare = np.bincount(of[own >= FREQUENT], minlength=len(texts))
+                sums, rest = np.bincount(np.repeat(np.arange(len(texts)), n), log_p, minlength=len(texts)), [[]] * len(texts)
+                if shares is not None:
+                    within, rest = shares.of(texts)
+                    sums = sums + within
                 part = pdf.iloc[at : at + len(texts)]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "text_key": part["text_key"].to_numpy(), "n_tokens": sizes, "n_rare": rare, "sum_logprob": sums})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "text_key": part["text_key"].to_numpy(), "n_tokens": n, "sum_logprob": sums, "rest": rest})
                 at += len(texts)
 
-    made = rows.mapInPandas(run, f"doc_id {kind}, text_key long, n_tokens long, n_rare long, sum_logprob double")
+    made = rows.mapInPandas(run, f"doc_id {kind}, text_key long, n_tokens long, sum_logprob double, rest array<long>")
     if counts is not None:
-        within = within_buckets(rows.select("text_key", "text"), frequent, counts)
+        made = written(made, "scores")
+        within = rest_shares(made.select("text_key", "rest"), counts, sizes)
         made = made.join(within, made["text_key"] == within["key"], "left")
-        made = made.withColumn("sum_logprob", F.col("sum_logprob") + F.col("n_rare") * F.coalesce("within", F.lit(0.0)))
+        made = made.withColumn("sum_logprob", F.col("sum_logprob") + F.size("rest") * F.coalesce("within", F.lit(0.0)))
     return made.select("doc_id", "n_tokens", "sum_logprob", F.try_divide("sum_logprob", "n_tokens").alias("mean_logprob"))
 
 

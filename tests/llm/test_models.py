@@ -237,8 +237,12 @@ def test_vocabulary_counts_all_words(spark):
     assert {tuple(r) for r in pseudo.count_words(docs).collect()} == {("a", 3), ("b", 2)}
 
 
-def test_every_word_is_predicted(spark):
-    """The network's tokens, and each rarer word within its bucket by its count in the corpus."""
+@pytest.mark.parametrize("known", [65_536, 1000, 0])
+def test_every_word_is_predicted(spark, known, monkeypatch):
+    """The network's tokens, and each rarer word within its bucket by its count in the corpus, whether
+    that count is broadcast or joined."""
+    monkeypatch.setattr(pseudo, "KNOWN", max(known, pseudo.FREQUENT if known else 0))
+    monkeypatch.setattr(pseudo, "FREQUENT", 100)
     texts = [*ODD_TEXTS, *prose(20), "aaing bbing\x85bbing", "aaing bbing\x85bbing"]
     docs = odd_docs(spark, texts)
     counts = pseudo.count_words(docs)
@@ -263,6 +267,46 @@ def test_every_word_is_predicted(spark):
     assert extra == pytest.approx(np.log(pseudo.UNSEEN / size.get(vocabulary["zzzzing"], pseudo.UNSEEN)), abs=1e-6)
 
 
+def test_keys_are_sparks(spark):
+    words = ["a", "aaing", "été", "中国人民", "😀😀😀x", "ab"]
+    df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
+    sizes = np.arange(1.0, pseudo.RARE + 1)
+    rest = spark.createDataFrame([(k, [pseudo._signed(pseudo._key(w))]) for k, w in enumerate(words)], "text_key long, rest array<long>")
+    found = {r["key"]: r["within"] for r in pseudo.rest_shares(rest, df, sizes).collect()}
+    assert found == {k: pytest.approx(np.log(1.5 / sizes[pseudo._bucket(w)])) for k, w in enumerate(words)}
+
+
+def test_scores_do_not_depend_on_the_split(spark, monkeypatch):
+    """The same documents in 1 and in 8 tasks, in another order and in small Arrow batches: the same scores."""
+    monkeypatch.setattr(pseudo, "GROUP", 3000)
+    monkeypatch.setattr(pseudo, "FAN", 3)
+    monkeypatch.setattr(pseudo, "_HELD", 500)
+    monkeypatch.setattr(pseudo, "_COUNTED", 50)
+    texts = prose(400, seed=11) + ["", None, "again and again"] * 5
+    rows = list(enumerate(texts)) + [(3, texts[3])] * 3
+    found = []
+    for parts, size, order in ((1, 10_000, 1), (8, 7, -1)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        docs = spark.createDataFrame(rows[::order], "doc_id long, text string").repartition(parts)
+        counts = pseudo.count_words(docs)
+        frequent, w = pseudo.train(docs, counts)
+        found.append((frequent, w, sorted((r["doc_id"], r["sum_logprob"]) for r in pseudo.score(docs, frequent, w, counts).collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0][0] == found[1][0] and all(np.array_equal(found[0][1][k], found[1][1][k]) for k in found[0][1])
+    assert [a[0] for a in found[0][2]] == [b[0] for b in found[1][2]]
+    assert np.allclose([a[1] for a in found[0][2]], [b[1] for b in found[1][2]], rtol=1e-6)
+
+
+def test_rounds_go_on_from_the_average(spark, monkeypatch):
+    """Two rounds over halves of the groups predict better than the first alone."""
+    monkeypatch.setattr(pseudo, "GROUP", 4000)
+    docs = spark.createDataFrame([(k, " ".join(sorted(t.split()))) for k, t in enumerate(prose(400, seed=7, vocabulary=60))], "doc_id long, text string")
+    total = lambda: pseudo.score(docs, *pseudo.train(docs)).agg({"sum_logprob": "sum"}).first()[0]
+    both = total()
+    monkeypatch.setattr(pseudo, "ROUNDS", 1)
+    assert both > total()
+
+
 @pytest.mark.parametrize(("text", "letter"), [("½ ² ①", False), ("12 _ !", False), ("½a", True), ("中", True), ("é", True), ("", False)])
 def test_letters(text, letter):
     assert language.has_letter(text) == letter
