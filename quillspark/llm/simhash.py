@@ -1,7 +1,9 @@
 """SimHash near-dedup over a Gray-order hierarchical index.
 
-Fingerprints that differ in at most r of 64 bits agree wholly in one of r + 1 bit blocks, so each
-distinct fingerprint is dealt to r + 1 buckets by block value (linear in the input). In a bucket the
+Fingerprints that differ in at most r of 64 bits agree wholly in m of r + m bit blocks, so each
+distinct fingerprint is dealt to a bucket for each choice of m blocks, by their value. With one block that is
+r + 1 buckets; from the counted number of fingerprints follows the least m for which buckets stay small,
+so that the work grows in proportion to the input. In a bucket the
 fingerprints are sorted by Gray rank, in which neighbours share long bit patterns; runs of
 ``FANOUT`` nodes are factored into an upper node that holds the mask of the bits they all agree in
 and those bits. Two nodes are compared by the differences in the bits that both have fixed: more than
@@ -16,6 +18,7 @@ an empty result; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -205,13 +208,23 @@ def search(bucket: np.ndarray, codes: np.ndarray, radius: int, most: int = 1 <<
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _in_tiles(codes: DataFrame, radius: int, bits: int, bucket_rows: int, columns: tuple[str, ...], made, schema: str) -> DataFrame:
-    """``made(own, columns)`` over the tiles of ``codes(lane, code, node, ...)``: ``own`` numbers the rows' tiles."""
-    edges = np.linspace(0, bits, radius + 2).round().astype(int)
-    keys = [
-        (F.col("lane").cast("long") * (radius + 1) + k) * (1 << 40) + F.shiftrightunsigned(F.col("code"), int(lo)).bitwiseAND(F.lit((1 << int(hi - lo)) - 1))
-        for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))
-    ]
+def choices(n: int, radius: int, bits: int, bucket_rows: int) -> list[tuple[int, ...]]:
+    """Masks of the bits that make the bucket keys: codes that differ in at most ``radius`` bits agree under
+    one of them, and ``n`` evenly spread codes fill no bucket beyond ``bucket_rows``."""
+    for m in range(1, 5):
+        edges = np.linspace(0, bits, radius + m + 1).round().astype(int)
+        blocks = [((1 << int(hi - lo)) - 1) << int(lo) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        masks = [sum(of) for of in combinations(blocks, m)]
+        if n <= bucket_rows << min(k.bit_count() for k in masks):
+            break
+    return masks
+
+
+def _in_tiles(codes: DataFrame, n: int, radius: int, bits: int, bucket_rows: int, columns: tuple[str, ...], made, schema: str) -> DataFrame:
+    """``made(own, columns)`` over the tiles of ``codes(lane, code, node, ...)``, of which a lane has ``n``:
+    ``own`` numbers the rows' tiles."""
+    signed = lambda k: k - (1 << 64) if k >> 63 else k
+    keys = [F.xxhash64(F.lit(k), "lane", F.col("code").bitwiseAND(F.lit(signed(mask)).cast("long"))) for k, mask in enumerate(choices(n, radius, bits, bucket_rows))]
     rows = codes.select(*columns, F.explode(F.array(*keys)).alias("block"))
     dealt = tiled(rows, "block", "node", bucket_rows).repartition("block", "tile").sortWithinPartitions("block", "tile")
 
@@ -238,9 +251,9 @@ def _in_tiles(codes: DataFrame, radius: int, bits: int, bucket_rows: int, column
     return dealt.mapInPandas(run, schema)
 
 
-def near_links(codes: DataFrame, radius: int = 4, bits: int = 64, bucket_rows: int = BUCKET) -> DataFrame:
-    """Links ``(a, b)`` between nodes of ``codes(lane, code, node)`` that connect all codes of a lane
-    within ``radius`` of ``bits`` bits.
+def near_links(codes: DataFrame, n: int, radius: int = 4, bits: int = 64, bucket_rows: int = BUCKET) -> DataFrame:
+    """Links ``(a, b)`` between nodes of ``codes(lane, code, node)``, ``n`` a lane, that connect all codes of
+    a lane within ``radius`` of ``bits`` bits.
 
     Every link is such a pair; a task sends on a cheapest spanning forest of those it finds, so at most
     one link a node and tile, whatever the size of its group. Ties go to the smallest nodes, so that
@@ -263,7 +276,7 @@ def near_links(codes: DataFrame, radius: int = 4, bits: int = 64, bucket_rows: i
         kept = forest(len(code), a, b, cost[order])
         return pd.DataFrame({"a": np.concatenate((node[equal], least[a[kept]])), "b": np.concatenate((node[to], least[b[kept]]))})
 
-    return _in_tiles(codes, radius, bits, bucket_rows, ("code", "node"), links, "a long, b long")
+    return _in_tiles(codes, n, radius, bits, bucket_rows, ("code", "node"), links, "a long, b long")
 
 
 def _parts(checks: np.ndarray, most: int) -> np.ndarray:
@@ -281,18 +294,20 @@ def _parts(checks: np.ndarray, most: int) -> np.ndarray:
     return part
 
 
-def near_clusters(codes: DataFrame, radius: int, bits: int, most: int, bucket_rows: int = BUCKET) -> DataFrame:
-    """Clusters ``(cluster, node)`` of two nodes or more of ``codes(lane, code, node, c1, c2)``: each pair
-    of a lane within ``radius`` of ``bits`` bits, and within ``most`` bits in c1 and c2, is in one of them.
+def near_clusters(codes: DataFrame, n: int, radius: int, bits: int, most: int, bucket_rows: int = BUCKET) -> DataFrame:
+    """Clusters ``(cluster, node)`` of two nodes or more of ``codes(lane, code, node, c1, c2, grp)``, ``n`` a lane:
+    each pair of a lane within ``radius`` of ``bits`` bits, and within ``most`` bits in c1 and c2, is in
+    one of them, unless both are of the same ``grp``.
 
-    Clusters are whole: nothing is chosen among a cluster's pairs. Equal clusters of several lanes or
+    Clusters are whole: nothing is chosen among a cluster's pairs; those of nodes of one group alone, which
+    are connected already, are left out. Equal clusters of several lanes or
     blocks have the same number. No cluster is larger than a tile.
     """
 
-    def clusters(own: np.ndarray, code: np.ndarray, node: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> pd.DataFrame:
+    def clusters(own: np.ndarray, code: np.ndarray, node: np.ndarray, c1: np.ndarray, c2: np.ndarray, grp: np.ndarray) -> pd.DataFrame:
         code = code.view(np.uint64)
         order = np.lexsort((node, gray_rank(code), own))
-        own, code, node, checks = own[order], code[order], node[order], np.stack((c1[order], c2[order]), axis=1)
+        own, code, node, grp, checks = own[order], code[order], node[order], grp[order], np.stack((c1[order], c2[order]), axis=1)
         fresh = np.append(True, (own[1:] != own[:-1]) | (code[1:] != code[:-1]))
         first = np.flatnonzero(fresh)
         a, b = search(own[first], code[first], radius)
@@ -304,16 +319,19 @@ def near_clusters(codes: DataFrame, radius: int, bits: int, most: int, bucket_ro
             if hi - lo == 1:
                 continue
             rows = order[lo:hi]
+            if (grp[rows] == grp[rows[0]]).all():
+                continue
             part = _parts(checks[rows], most)
             for k in range(part.max() + 1):
-                members = node[rows[part == k]]
-                if len(members) > 1:
+                inside = rows[part == k]
+                members = node[inside]
+                if len(members) > 1 and (grp[inside] != grp[inside[0]]).any():
                     nodes.append(members)
                     names.append(np.full(len(members), np.uint64(xxhash.xxh64_intdigest(members.tobytes(), SEED)).view(np.int64)))
         none = np.zeros(0, np.int64)
         return pd.DataFrame({"cluster": np.concatenate((none, *names)), "node": np.concatenate((none, *nodes))})
 
-    return _in_tiles(codes, radius, bits, bucket_rows, ("code", "node", "c1", "c2"), clusters, "cluster long, node long").distinct()
+    return _in_tiles(codes, n, radius, bits, bucket_rows, ("code", "node", "c1", "c2", "grp"), clusters, "cluster long, node long").distinct()
 
 
 def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, bucket_rows: int = BUCKET) -> DataFrame:
@@ -321,7 +339,7 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, bucket_rows
     fps = written(fingerprints(docs, width), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
     codes = classes.select(F.lit(0).alias("lane"), F.col("fp").alias("code"), F.col("fp").alias("node"))
-    roots = connected_components(near_links(codes, radius, 64, bucket_rows))
+    roots = connected_components(near_links(codes, classes.count(), radius, 64, bucket_rows))
     owned = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         F.col("fp").alias("code"), F.coalesce("root", "fp").alias("root"), "least_id"
     )
@@ -335,6 +353,8 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, bucket_rows
 #: bits that a lane may differ in. Two texts of Jaccard similarity 0.8 differ in about 15 % of the bits;
 #: one lane of 48 then meets the radius with a chance of 0.998.
 PARTS, LANES, LANE_BITS, LANE_RADIUS = 24, 48, 32, 2
+#: Lanes of the first round.
+FIRST_LANES = 8
 
 
 #: Estimated similarities that are nearer to the threshold than this are verified. At 0.8 the estimate's
@@ -360,37 +380,43 @@ def prefix(hashes: np.ndarray, share: float) -> np.ndarray:
     return hashes[: len(hashes) - int(np.ceil(share * len(hashes) - 1e-9)) + 1]
 
 
-def candidates(wide: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
-    """``(cluster, node)`` of ``wide(node, bits, rare)``: the pairs of each cluster are to be compared."""
-    lanes = F.explode(F.array(*[
+def candidates(wide: DataFrame, n: int, lanes: range, bucket_rows: int = BUCKET) -> DataFrame:
+    """``(cluster, node)`` of ``wide(node, bits, grp)`` by some of the lanes: the pairs of each cluster are
+    to be compared, but for those of one ``grp``."""
+    each = F.explode(F.array(*[
         F.struct(
             F.lit(k).alias("lane"),
             F.shiftrightunsigned(F.col("bits")[k // 2], LANE_BITS * (k % 2)).bitwiseAND(F.lit((1 << LANE_BITS) - 1)).alias("code"),
             F.col("bits")[(k // 2 + 8) % PARTS].alias("c1"),
             F.col("bits")[(k // 2 + 16) % PARTS].alias("c2"),
         )
-        for k in range(LANES)
+        for k in lanes
     ]))
-    codes = wide.select("node", lanes.alias("x")).select("x.lane", "x.code", "node", "x.c1", "x.c2")
-    near = near_clusters(codes, LANE_RADIUS, LANE_BITS, CHECKED, bucket_rows)
+    codes = wide.select("node", "grp", each.alias("x")).select("x.lane", "x.code", "node", "x.c1", "x.c2", "grp")
+    return near_clusters(codes, n, LANE_RADIUS, LANE_BITS, CHECKED, bucket_rows)
+
+
+def rare_candidates(wide: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
+    """``(cluster, node)`` of ``wide(node, rare)``: those that have one of their rarest shingles in common."""
     rare = written(wide.select("node", F.explode("rare").alias("shingle")), "rare")
     often = rare.groupBy(F.col("shingle").alias("s")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     dealt = tiled(rare.join(often, rare["shingle"] == often["s"], "left_semi"), "shingle", "node", bucket_rows)
-    return near.union(dealt.select(F.xxhash64("shingle", "tile").alias("cluster"), "node"))
+    return dealt.select(F.xxhash64("shingle", "tile").alias("cluster"), "node")
 
 
-def compare(node: np.ndarray, n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray | None], share: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def compare(node: np.ndarray, n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray | None], grp: np.ndarray, share: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Of a whole cluster: links ``(a, b)`` that connect all its pairs of a Jaccard similarity of at least
     ``share``, and the pairs that the estimate leaves open and that no link connects.
 
     Pairs with both sets are compared on them; others by the estimate from the share of differing bits,
-    which is the angle between the sets. Only pairs that are not connected yet are looked at.
+    which is the angle between the sets. Only pairs that are not connected yet are looked at; those of
+    the same ``grp`` are.
     """
     has = np.array([x is not None for x in sets])
     held = [x if x is not None else np.zeros(0, np.int64) for x in sets]
     ends = np.cumsum([len(x) for x in held])
     known, ids = np.unique(np.concatenate(held), return_inverse=True)
-    mark, group = np.zeros(len(known), bool), np.arange(len(node))
+    mark, group = np.zeros(len(known), bool), np.unique(grp, return_inverse=True)[1]
     links, open_ = [], []
     for i in range(len(node) - 1):
         j = np.arange(i + 1, len(node))
@@ -438,23 +464,45 @@ def shingle_sets(asked: DataFrame, rows: DataFrame, names: DataFrame, width: int
     return written(texts.mapInPandas(run, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
 
-def similar_links(wide: DataFrame, rows: DataFrame, names: DataFrame, width: int, share: float) -> DataFrame:
-    """Links ``(a, b)`` that connect the nodes of ``wide(node, n, bits, rare)`` of a Jaccard similarity of at
-    least ``share``. All pairs of a cluster are compared before any is left out."""
-    met = written(candidates(wide), "met")
+def similar_groups(wide: DataFrame, rows: DataFrame, names: DataFrame, width: int, share: float) -> DataFrame:
+    """``(node, root)`` of the nodes of ``wide(node, n, bits, rare)`` that are connected by a Jaccard similarity of at
+    least ``share``. All pairs of a cluster are compared before any is left out.
+
+    The first lanes find most of every large group; a second round looks through the other lanes for what
+    the first has not connected, so a large group does not meet again in each of them.
+    """
+    n = wide.count()
+    found, roots = [], None
+    for lanes in (range(FIRST_LANES), range(FIRST_LANES, LANES)):
+        if roots is None:
+            grouped = wide.withColumn("grp", F.col("node"))
+            met = candidates(grouped, n, lanes).union(rare_candidates(wide))
+        else:
+            own = roots.select(F.col("node").alias("v"), "root")
+            grouped = written(wide.join(own, wide["node"] == own["v"], "left").select("node", "n", "bits", F.coalesce("root", "node").alias("grp")), "grouped")
+            met = candidates(grouped, n, lanes)
+        found.append(written(similar_links(written(met, "met"), grouped, rows, names, width, share), "similar"))
+        links = found[0] if len(found) == 1 else found[0].union(found[1])
+        roots = written(connected_components(links), "roots")
+    return roots
+
+
+def similar_links(met: DataFrame, wide: DataFrame, rows: DataFrame, names: DataFrame, width: int, share: float) -> DataFrame:
+    """Links ``(a, b)`` that, with the groups ``grp``, connect the nodes of each cluster of ``met(cluster, node)`` that are alike.
+    ``wide(node, n, bits, grp)`` has all nodes."""
     asked = met.select(F.col("node").alias("v")).distinct()
     small = wide.where(F.col("n") <= _size_with(EXACT, share)).select(F.col("node").alias("w"))
     sets = shingle_sets(asked.join(small, asked["v"] == small["w"], "left_semi"), rows, names, width)
     sets = sets.select(F.col("node").alias("y"), "shingles")
-    full = wide.join(asked, wide["node"] == asked["v"], "left_semi").select(F.col("node").alias("x"), "n", "bits")
-    full = written(full.join(sets, full["x"] == sets["y"], "left").select("x", "n", "bits", "shingles"), "full")
-    gathered = met.join(full, met["node"] == full["x"]).select("cluster", "node", "n", "bits", "shingles").repartition("cluster").sortWithinPartitions("cluster")
+    full = wide.join(asked, wide["node"] == asked["v"], "left_semi").select(F.col("node").alias("x"), "n", "bits", "grp")
+    full = written(full.join(sets, full["x"] == sets["y"], "left").select("x", "n", "bits", "grp", "shingles"), "full")
+    gathered = met.join(full, met["node"] == full["x"]).select("cluster", "node", "n", "bits", "grp", "shingles").repartition("cluster").sortWithinPartitions("cluster")
 
     def links(parts: list[pd.DataFrame]) -> pd.DataFrame:
         pdf = pd.concat(parts).sort_values("n", kind="stable") if len(parts) > 1 else parts[0].sort_values("n", kind="stable")
         bits = np.stack(pdf["bits"].tolist()).astype(np.int64)
         sets = [None if x is None else np.asarray(x, np.int64) for x in pdf["shingles"]]
-        sure, open_ = compare(pdf["node"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), bits, sets, share)
+        sure, open_ = compare(pdf["node"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), bits, sets, pdf["grp"].to_numpy(np.int64), share)
         both = np.concatenate((np.zeros((0, 2), np.int64), *sure, *open_))
         return pd.DataFrame({"a": both.min(axis=1), "b": both.max(axis=1), "sure": np.arange(len(both)) < sum(map(len, sure))})
 
@@ -474,7 +522,7 @@ def similar_links(wide: DataFrame, rows: DataFrame, names: DataFrame, width: int
         if held:
             yield links(held)
 
-    found = written(gathered.mapInPandas(run, "a long, b long, sure boolean").distinct(), "similar")
+    found = written(gathered.mapInPandas(run, "a long, b long, sure boolean").distinct(), "estimated")
     unsure = found.where("NOT sure").select("a", "b")
     sets = shingle_sets(unsure.select(F.col("a").alias("v")).union(unsure.select("b")).distinct(), rows, names, width)
     left = sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx"))
@@ -487,7 +535,8 @@ def similar_links(wide: DataFrame, rows: DataFrame, names: DataFrame, width: int
 
 def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
     """``docs`` with all columns, cut to one row of each group of near copies: that with the smallest
-    doc_id (a row with a null doc_id only if all are such), of these that with the smallest text hash.
+    doc_id (a row with a null doc_id only if all are such), of these that with the smallest text hash,
+    of these that whose columns come first as text.
 
     Near copies are texts whose sets of ``width``-word shingles have a Jaccard similarity of at least
     ``share``, directly or over others: of short texts found and compared on the sets, of long ones
@@ -511,7 +560,7 @@ def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     classes = written(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("rare").alias("rare"), F.min(rank).alias("best")), "classes")
     names = classes.select("node", "best.doc_id", "best.text_key")
-    roots = connected_components(similar_links(classes.select("node", "n", "bits", "rare"), rows, names, width, share))
+    roots = similar_groups(classes.select("node", "n", "bits", "rare"), rows, names, width, share)
     own = classes.select(F.col("node").alias("v"), "best").join(roots, F.col("v") == F.col("node"), "left")
     chosen = written(own.groupBy(F.coalesce("root", "v").alias("group")).agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("i"), F.col("best.text_key").alias("k")), "chosen")
     seen = prints.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
@@ -521,8 +570,8 @@ def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
     whole = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("key"))
     same = F.col("row.doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))
     once = whole.join(written(single, "single"), same, "left_semi").select("row.*")
-    # Rows that are repeated in full: any of them.
-    one_of = whole.join(written(repeated, "repeated"), same).groupBy("i", "k").agg(F.first("row").alias("row")).select("row.*")
+    # Of rows with the same id and text, that whose other columns come first as text.
+    one_of = whole.join(written(repeated, "repeated"), same).groupBy("i", "k").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return once.unionByName(one_of)
 
 

@@ -13,6 +13,9 @@ from quillspark.llm.common import written
 from quillspark.llm.graph import connected_components, forest, local_roots
 
 
+CHOICES = simhash.choices
+
+
 def plain_fingerprint(text, width):
     text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
@@ -92,8 +95,21 @@ def test_gray_neighbours_differ_in_one_bit():
     assert (np.bitwise_count(ordered[1:] ^ ordered[:-1]) == 1).all()
 
 
-@pytest.mark.parametrize("bucket_rows", [8, 32768])
-def test_groups_equal_brute_force(spark, bucket_rows):
+@pytest.mark.parametrize(("n", "radius", "bits"), [(10, 4, 64), (10**9, 4, 64), (10**11, 4, 64), (10**6, 2, 32), (10**9, 2, 32)])
+def test_some_choice_of_blocks_agrees(n, radius, bits):
+    """Whatever bits differ, up to the radius; and evenly spread codes fill no bucket."""
+    masks = simhash.choices(n, radius, bits, 32_768)
+    assert all(n >> m.bit_count() <= 32_768 for m in masks) and len(masks) <= 70
+    rnd = random.Random(n)
+    for _ in range(2000):
+        differ = sum(1 << b for b in rnd.sample(range(bits), radius))
+        assert any(not m & differ for m in masks)
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 8, 32768])
+def test_groups_equal_brute_force(spark, bucket_rows, monkeypatch):
+    if bucket_rows == 1:  # as if there were very many
+        monkeypatch.setattr(simhash, "choices", lambda n, radius, bits, rows: CHOICES(10**10, radius, bits, 32_768))
     base = prose(30, size=(60, 200))
     texts = base + base[:5] + [edited(t, 0.02, k) for k, t in enumerate(base)] + [None, "", "solo", "Solo"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -113,6 +129,14 @@ def test_odd_rows(spark):
     assert simhash.simhash_groups(no_docs(spark)).collect() == []
 
 
+def test_rows_of_the_same_id_and_text(spark):
+    """Of rows that differ in other columns only, the same one stays in any order."""
+    rows = [(1, "one two three four five six", c, k) for k, c in enumerate("cab")] + [(2, None, "x", 1), (2, None, "w", 2)]
+    for order in (1, -1):
+        docs = spark.createDataFrame(rows[::order], "doc_id long, text string, lang string, row long").repartition(3)
+        assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(1, rows[0][1], "a", 1), (2, None, "w", 2)]
+
+
 def jaccard(a, b, width=5):
     cut = lambda t: {tuple(t.lower().split()[k : k + width]) for k in range(max(1, len(t.split()) - width + 1))}
     x, y = cut(a), cut(b)
