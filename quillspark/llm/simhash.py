@@ -350,11 +350,11 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, bucket_rows
 
 
 #: Of the similarity search: 64-bit parts of the fingerprint, lanes of 32 bits of it that are indexed,
-#: bits that a lane may differ in. Two texts of Jaccard similarity 0.8 differ in about 15 % of the bits;
-#: one lane of 48 then meets the radius with a chance of 0.998.
-PARTS, LANES, LANE_BITS, LANE_RADIUS = 24, 48, 32, 2
+#: bits that a lane may differ in. Two texts of Jaccard similarity 0.8 differ in about 15 % of the bits, so
+#: in a lane in three or fewer with a chance of 0.26; one lane of 20 then meets with a chance of 0.998.
+PARTS, LANES, LANE_BITS, LANE_RADIUS = 24, 20, 32, 3
 #: Lanes of the first round.
-FIRST_LANES = 8
+FIRST_LANES = 6
 
 
 #: Estimated similarities that are nearer to the threshold than this are verified. At 0.8 the estimate's
