@@ -28,9 +28,11 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,36 +59,67 @@ def _bucket(word: str) -> int:
     return zlib.crc32(word[-3:].encode("utf-8", "surrogatepass")) % RARE
 
 
-def _key(word: str) -> int:
-    """Hash of a rarer word that ends in its bucket."""
-    return (xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42) & ~(RARE - 1)) | _bucket(word)
+def _key(word: str, bucket: int) -> int:
+    """Hash of a rarer word, as a signed long, that ends in its bucket."""
+    key = (xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42) & ~(RARE - 1)) | bucket
+    return key - (1 << 64) if key >> 63 else key
+
 
+class Words(dict):
+    """Number of each word, by which its token, its share of its bucket and its key are found.
 
-class Vocabulary(dict):
-    """Token of each word; what is looked up is remembered up to a bound."""
+    The share is the log-probability within the bucket: 0 for words with a token of their own, not a
+    number for words that ``shares`` lacks, which have a key instead. What is looked up is remembered up to a bound.
+    """
 
-    def __init__(self, words: list[str]) -> None:
-        super().__init__((w, k) for k, w in enumerate(words[:FREQUENT]))
-        self.words = len(self)
+    def __init__(self, frequent: list[str], shares: dict[str, float] | None = None) -> None:
+        super().__init__()
+        self.frequent, self.given = frequent[:FREQUENT], shares or {}
+        self._begin()
+
+    def _begin(self) -> None:
+        self.clear()
+        self._tokens, self._shares, self._keys = list(range(len(self.frequent))), [0.0] * len(self.frequent), [0] * len(self.frequent)
+        self.update((w, k) for k, w in enumerate(self.frequent))
+        self.token, self.share, self.key = np.array(self._tokens, np.uint16), np.array(self._shares), np.array(self._keys, np.int64)
 
     def __missing__(self, word: str) -> int:
-        token = FREQUENT + _bucket(word)
-        if len(self) < _MEMO:
-            self[word] = token
-        return token
+        bucket, share = _bucket(word), self.given.get(word, np.nan)
+        self[word] = k = len(self._tokens)
+        self._tokens.append(FREQUENT + bucket)
+        self._shares.append(share)
+        self._keys.append(0 if share == share else _key(word, bucket))
+        return k
 
     def __reduce__(self):
-        return Vocabulary, (list(self)[: self.words],)
+        return Words, (self.frequent, self.given)
 
-    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts with ``REACH`` edges before, between and after; number of each text."""
-        out, counts, look = [EDGE] * REACH, np.zeros(len(texts), np.int64), self.__getitem__
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts, to be used before the next call, and how many each text has."""
+        if len(self) > _MEMO:
+            self._begin()
+        out, counts, look = [], np.zeros(len(texts), np.int64), self.__getitem__
         for k, text in enumerate(texts):
             words = (text or "").lower().split()
             out.extend(map(look, words))
-            out.extend([EDGE] * REACH)
             counts[k] = len(words)
-        return np.array(out, np.uint16), counts
+        new = len(self.token)
+        if len(self._tokens) > new:
+            self.token = np.append(self.token, np.array(self._tokens[new:], np.uint16))
+            self.share, self.key = np.append(self.share, self._shares[new:]), np.append(self.key, np.array(self._keys[new:], np.int64))
+        return np.array(out, np.int64), counts
+
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts with ``REACH`` edges before, between and after; number of each text."""
+        numbers, counts = self.numbers(texts)
+        return edged(self.token[numbers], counts), counts
+
+
+def edged(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Texts' tokens, one text after another, with edges before, between and after."""
+    out = np.full(len(tokens) + REACH * (len(counts) + 1), EDGE, np.uint16)
+    out[np.arange(len(tokens)) + REACH * (1 + np.repeat(np.arange(len(counts)), counts))] = tokens
+    return out
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -105,29 +138,6 @@ def count_words(docs: DataFrame) -> DataFrame:
     return need(docs, "text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Shares(dict):
-    """Log-probability within its bucket of each word whose count is broadcast: 0 for words with a token
-    of their own, not a number for all others."""
-
-    def __missing__(self, word: str) -> float:
-        return np.nan
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
-        """Sum of each text, and the keys of its words without a share."""
-        sums, rest, look = np.zeros(len(texts)), [], self.__getitem__
-        for k, text in enumerate(texts):
-            words = (text or "").lower().split()
-            shares = np.fromiter(map(look, words), float, len(words))
-            none = np.isnan(shares)
-            sums[k] = shares[~none].sum()
-            rest.append([_signed(_key(words[i])) for i in np.flatnonzero(none).tolist()])
-        return sums, rest
-
-
-def _signed(key: int) -> int:
-    return key - (1 << 64) if key >> 63 else key
-
-
 def bucket_sizes(counts: DataFrame, frequent: list[str]) -> np.ndarray:
     """Smoothed count of all words of each bucket. ``counts(word, n)`` is of the whole corpus."""
     seen = counts.where(~F.col("word").isin(frequent)).select(_bucket_of(F.col("word")).alias("bucket"), "n")
@@ -141,11 +151,10 @@ def _bucket_of(word: Column) -> Column:
     return (F.crc32(F.encode(F.substring(word, -3, 3), "UTF-8")) % RARE).cast("int")
 
 
-def known_shares(counts: DataFrame, frequent: list[str], sizes: np.ndarray) -> Shares:
+def known_shares(counts: DataFrame, sizes: np.ndarray) -> dict[str, float]:
+    """Log-probability within its bucket of each of the most frequent words."""
     top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    shares = Shares((r["word"], float(np.log((r["n"] + UNSEEN) / sizes[_bucket(r["word"])]))) for r in top)
-    shares.update(dict.fromkeys(frequent[:FREQUENT], 0.0))
-    return shares
+    return {r["word"]: float(np.log((r["n"] + UNSEEN) / sizes[_bucket(r["word"])])) for r in top}
 
 
 def rest_shares(rest: DataFrame, counts: DataFrame, sizes: np.ndarray) -> DataFrame:
@@ -172,17 +181,24 @@ def start(seed: int = 0) -> Weights:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    """Of each column (sums down the columns run along memory)."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= x.sum(axis=0)
     return x
 
 
 def _log_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of each row at one place."""
-    x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(x)), at]
-    return own - np.log(np.exp(x, out=x).sum(axis=1))
+    """Logarithm of the softmax of each column at one place."""
+    x -= x.max(axis=0)
+    own = x[at, np.arange(x.shape[1])]
+    return own - np.log(np.exp(x, out=x).sum(axis=0))
+
+
+def _logits(weights: np.ndarray, bias: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+    out = weights.T @ hidden.T
+    out += bias[:, None]
+    return out
 
 
 def _hidden(w: Weights, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -197,16 +213,17 @@ def log_probabilities(w: Weights, tokens: np.ndarray, at: np.ndarray) -> np.ndar
     out = np.empty(len(at))
     for lo in range(0, len(at), _CHUNK):
         part = at[lo : lo + _CHUNK]
-        part = part[np.argsort(tokens[part], kind="stable")]  # the tokens of a cluster stand together
+        order = np.argsort(tokens[part], kind="stable")  # the tokens of a cluster stand together
+        part = part[order]
         hidden, target = _hidden(w, tokens, part), tokens[part].astype(np.int64)
         of, inner = np.divmod(target, EACH)
-        log_p = _log_at(hidden @ w["cluster"] + w["cluster_bias"], of)
+        log_p = _log_at(_logits(w["cluster"], w["cluster_bias"], hidden), of)
         bounds = np.searchsorted(of, np.arange(CLUSTERS + 1))
         for c in range(CLUSTERS):
             a, b = bounds[c], bounds[c + 1]
             if a < b:
-                log_p[a:b] += _log_at(hidden[a:b] @ w["inner"][c] + w["inner_bias"][c], inner[a:b])
-        out[np.searchsorted(at, part)] = log_p
+                log_p[a:b] += _log_at(_logits(w["inner"][c], w["inner_bias"][c], hidden[a:b]), inner[a:b])
+        out[lo + order] = log_p
     return out
 
 
@@ -226,20 +243,20 @@ class Trainer:
         n, w = len(at), self.w
         hidden, target = _hidden(w, tokens, at), tokens[at].astype(np.int64)
         of, inner = np.divmod(target, EACH)
-        off = _softmax(hidden @ w["cluster"] + w["cluster_bias"])
-        off[np.arange(n), of] -= 1
-        back = off @ w["cluster"].T
-        gradient, bounds = hidden.T @ off, np.searchsorted(of, np.arange(CLUSTERS + 1))
+        off = _softmax(_logits(w["cluster"], w["cluster_bias"], hidden))
+        off[of, np.arange(n)] -= 1
+        back = off.T @ w["cluster"].T
+        gradient, bounds = hidden.T @ off.T, np.searchsorted(of, np.arange(CLUSTERS + 1))
         for c in range(CLUSTERS):
             a, b = bounds[c], bounds[c + 1]
             if a < b:
-                own = _softmax(hidden[a:b] @ w["inner"][c] + w["inner_bias"][c])
-                own[np.arange(b - a), inner[a:b]] -= 1
-                back[a:b] += own @ w["inner"][c].T
-                self._step("inner", c, hidden[a:b].T @ own / n)
-                self._step("inner_bias", c, own.sum(axis=0) / n)
+                own = _softmax(_logits(w["inner"][c], w["inner_bias"][c], hidden[a:b]))
+                own[inner[a:b], np.arange(b - a)] -= 1
+                back[a:b] += own.T @ w["inner"][c].T
+                self._step("inner", c, hidden[a:b].T @ own.T / n)
+                self._step("inner_bias", c, own.sum(axis=1) / n)
         self._step("cluster", slice(None), gradient / n)
-        self._step("cluster_bias", slice(None), off.sum(axis=0) / n)
+        self._step("cluster_bias", slice(None), off.sum(axis=1) / n)
         back *= (1 - hidden * hidden) / n
         for k, o in enumerate(PLACES):
             ids = tokens[at + o]
@@ -291,121 +308,158 @@ def _averaged(models: DataFrame, n: int) -> DataFrame:
     return models
 
 
-def _pieces(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str | None]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t or "")
+def _pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at least ``most`` together."""
+    lo, size = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        size += n
         if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+            yield lo, k + 1
+            lo, size = k + 1, 0
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 #: Tasks of a round at most; beyond, a task trains several groups one after another.
 MOST_TASKS = 100_000
 
 
-def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[str], Weights]:
-    """Vocabulary and network from all rows of ``docs(doc_id, text)``; ``counts`` if its words are counted already."""
-    rows = need(docs, "doc_id", "text")
-    counts = count_words(rows) if counts is None else counts
+@dataclass(frozen=True)
+class Corpus:
+    """What is known of all words: those with a token of their own, the number of running words, and, if
+    words are to be predicted within their buckets, all counts and the smoothed sizes of the buckets."""
+
+    frequent: list[str]
+    words: int
+    counts: DataFrame | None = None
+    sizes: np.ndarray | None = None
+
+
+def corpus_of(counts: DataFrame, within: bool = True) -> Corpus:
     counts = counts.select("word", "n")
     frequent = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     words = counts.agg(F.sum("n")).first()[0] or 0
-    groups = -(-words // GROUP)
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(frequent))
+    return Corpus(frequent, words, counts, bucket_sizes(counts, frequent)) if within else Corpus(frequent, words)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = []
-            for text in pdf["text"]:
-                tokens, n = shared.value.tokens([text])
-                made.append(tokens[REACH:].tobytes() if n[0] else None)
-            yield pd.DataFrame({"key": pdf["key"], "tokens": made})
 
-    keyed = rows.where("text IS NOT NULL").select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"), "text")
-    encoded = keyed.mapInPandas(encode, "key long, tokens binary").where("tokens IS NOT NULL")
-    encoded = written(encoded.withColumn("grp", F.pmod(F.col("key"), F.lit(max(1, groups)))), "tokens")
+def encoded(docs: DataFrame, corpus: Corpus) -> DataFrame:
+    """``(doc_id, text_key, key, n_tokens, within, rest, tokens)`` a row of ``docs``: the only pass that cuts texts.
+
+    ``within`` is the sum of the shares that are broadcast, ``rest`` has the keys of the words whose count is not.
+    """
+    rows = need(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    shares = known_shares(corpus.counts, corpus.sizes) if corpus.counts is not None else None
+    shared = docs.sparkSession.sparkContext.broadcast(Words(corpus.frequent, shares))
+    asked = shares is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for lo, hi in _pieces(np.array([len(t or "") for t in texts]), 4_000_000):
+                numbers, n = words.numbers(texts[lo:hi])
+                share, of = words.share[numbers], np.repeat(np.arange(hi - lo), n)
+                none = np.isnan(share) if asked else np.zeros(len(share), bool)
+                within = np.bincount(of[~none], share[~none], minlength=hi - lo).astype(float) if asked else np.zeros(hi - lo)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(of[none], minlength=hi - lo))))
+                raw = np.concatenate(([0], np.cumsum(2 * n)))
+                parts = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_key", "key")]
+                parts += [pa.array(n), pa.array(within), pa.LargeListArray.from_arrays(pa.array(ends), pa.array(words.key[numbers[none]])).cast(pa.list_(pa.int64()))]
+                tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(raw.astype(np.int64)), pa.py_buffer(words.token[numbers])])
+                yield pa.RecordBatch.from_arrays([*parts, tokens.cast(pa.binary())], names=["doc_id", "text_key", "key", "n_tokens", "within", "rest", "tokens"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, key long, n_tokens long, within double, rest array<long>, tokens binary")
+
+
+def _finished(trainer: Trainer, at: int, n: int, held: list[np.ndarray]) -> pd.DataFrame:
+    """A group's model, after what is still held has been learned."""
+    n += _learned(trainer, held)
+    return pd.DataFrame({"at": [at], "model": [np.concatenate((_flat(trainer.w), _flat(trainer.seen))).tobytes()], "n": [n]})
+
+
+def _learned(trainer: Trainer, held: list[np.ndarray]) -> int:
+    return trainer.learn(edged(np.concatenate(held), np.array([len(x) for x in held]))) if held else 0
+
+
+def train_on(made: DataFrame, words: int) -> Weights:
+    """Network from all rows of ``made(key, n_tokens, tokens)``, in which there are ``words`` words."""
+    spark, groups = made.sparkSession, -(-words // GROUP)
+    dealt = made.where("n_tokens > 0").select("key", "tokens", F.pmod(F.col("key"), F.lit(max(1, groups))).alias("grp"))
     weights, seen = start(), None
     for r in range(ROUNDS):
         lo, hi = groups * r // ROUNDS, groups * (r + 1) // ROUNDS
         if lo == hi:
             continue
-        begin = docs.sparkSession.sparkContext.broadcast((weights, seen))
+        begin = spark.sparkContext.broadcast((weights, seen))
 
         def learn(batches: Iterator[pd.DataFrame], begin=begin, lo=lo) -> Iterator[pd.DataFrame]:
             trainer, at, n, held, size = None, None, 0, [], 0
-            edge = np.full(REACH, EDGE, np.uint16)
-
             for pdf in batches:
                 for grp, raw in zip(pdf["grp"].tolist(), pdf["tokens"], strict=True):
                     if grp != at:
                         if trainer is not None:
-                            yield finished(trainer, at - lo, n, edge, held)
+                            yield _finished(trainer, at - lo, n, held)
                         trainer, at, n, held, size = Trainer(*begin.value), grp, 0, [], 0
                     held.append(np.frombuffer(raw, np.uint16))
                     size += len(held[-1])
                     if size >= _HELD:
-                        n += trainer.learn(np.concatenate((edge, *held)))
+                        n += _learned(trainer, held)
                         held, size = [], 0
             if trainer is not None:
-                yield finished(trainer, at - lo, n, edge, held)
+                yield _finished(trainer, at - lo, n, held)
 
         parts = min(hi - lo, MOST_TASKS)
-        own = encoded.where((F.col("grp") >= lo) & (F.col("grp") < hi))
-        dealt = own.repartitionById(parts, ((F.col("grp") - lo) % parts).cast("int")).sortWithinPartitions("grp", "key")
-        models = written(dealt.mapInPandas(learn, "at long, model binary, n long"), "models")
+        own = dealt.where((F.col("grp") >= lo) & (F.col("grp") < hi))
+        own = own.repartitionById(parts, ((F.col("grp") - lo) % parts).cast("int")).sortWithinPartitions("grp", "key")
+        models = written(own.mapInPandas(learn, "at long, model binary, n long"), "models")
         last = _averaged(models, hi - lo).collect()
         if last:
             flat = np.frombuffer(last[0]["model"], np.float32)
             weights, seen = _shaped(flat[: len(flat) // 2]), _shaped(flat[len(flat) // 2 :])
-    return frequent, weights
+    return weights
 
 
-def finished(trainer: Trainer, at: int, n: int, edge: np.ndarray, held: list[np.ndarray]) -> pd.DataFrame:
-    """A group's model, after what is still held has been learned."""
-    if held:
-        n += trainer.learn(np.concatenate((edge, *held)))
-    return pd.DataFrame({"at": [at], "model": [np.concatenate((_flat(trainer.w), _flat(trainer.seen))).tobytes()], "n": [n]})
+def score_on(made: DataFrame, weights: Weights, corpus: Corpus) -> DataFrame:
+    """``(doc_id, n_tokens, sum_logprob, mean_logprob)`` a row of ``made``, as ``encoded`` gives it."""
+    shared, kind = made.sparkSession.sparkContext.broadcast(weights), made.schema["doc_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, raw = batch.column("n_tokens").to_numpy(), batch.column("tokens").to_pylist()
+            sums = np.zeros(len(n))
+            for lo, hi in _pieces(n, 1 << 20):
+                tokens = edged(np.frombuffer(b"".join(raw[lo:hi]), np.uint16), n[lo:hi])
+                log_p = log_probabilities(shared.value, tokens, np.flatnonzero(tokens != EDGE))
+                sums[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), n[lo:hi]), log_p, minlength=hi - lo)
+            total = sums + batch.column("within").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), batch.column("n_tokens"), pa.array(total), batch.column("n_rest")], names=["doc_id", "text_key", "n_tokens", "sum_logprob", "n_rest"])
 
-def score(docs: DataFrame, frequent: list[str], weights: Weights, counts: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, n_tokens, sum_logprob, mean_logprob)`` a row: of the words, if their ``counts(word, n)``
-    in the corpus are given, otherwise of the network's tokens alone."""
-    rows = need(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    sizes = bucket_sizes(counts, frequent) if counts is not None else None
-    shares = known_shares(counts, frequent, sizes) if counts is not None else None
-    shared = docs.sparkSession.sparkContext.broadcast((Vocabulary(frequent), weights, shares))
+    given = made.select("doc_id", "text_key", "n_tokens", "tokens", "within", F.size("rest").alias("n_rest"))
+    out = given.mapInArrow(run, f"doc_id {kind}, text_key long, n_tokens long, sum_logprob double, n_rest int")
+    if corpus.counts is not None:
+        within = rest_shares(made.select("text_key", "rest"), corpus.counts, corpus.sizes)
+        out = out.join(within, out["text_key"] == within["key"], "left")
+        out = out.withColumn("sum_logprob", F.col("sum_logprob") + F.col("n_rest") * F.coalesce("within", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "sum_logprob", F.try_divide("sum_logprob", "n_tokens").alias("mean_logprob"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, w, shares = shared.value
-        for pdf in batches:
-            at = 0
-            for texts in _pieces(pdf["text"].tolist()):
-                tokens, n = vocabulary.tokens(texts)
-                log_p = log_probabilities(w, tokens, np.flatnonzero(tokens != EDGE))
-                sums, rest = np.bincount(np.repeat(np.arange(len(texts)), n), log_p, minlength=len(texts)), [[]] * len(texts)
-                if shares is not None:
-                    within, rest = shares.of(texts)
-                    sums = sums + within
-                part = pdf.iloc[at : at + len(texts)]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "text_key": part["text_key"].to_numpy(), "n_tokens": n, "sum_logprob": sums, "rest": rest})
-                at += len(texts)
-
-    made = rows.mapInPandas(run, f"doc_id {kind}, text_key long, n_tokens long, sum_logprob double, rest array<long>")
-    if counts is not None:
-        made = written(made, "scores")
-        within = rest_shares(made.select("text_key", "rest"), counts, sizes)
-        made = made.join(within, made["text_key"] == within["key"], "left")
-        made = made.withColumn("sum_logprob", F.col("sum_logprob") + F.size("rest") * F.coalesce("within", F.lit(0.0)))
-    return made.select("doc_id", "n_tokens", "sum_logprob", F.try_divide("sum_logprob", "n_tokens").alias("mean_logprob"))
+
+def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[str], Weights]:
+    """Vocabulary and network from all rows of ``docs(doc_id, text)``; ``counts`` if its words are counted already."""
+    corpus = corpus_of(count_words(docs) if counts is None else counts, within=False)
+    return corpus.frequent, train_on(written(encoded(docs, corpus), "tokens"), corpus.words)
+
+
+def score(docs: DataFrame, frequent: list[str], weights: Weights, counts: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, n_tokens, sum_logprob, mean_logprob)`` a row of any ``docs(doc_id, text)``: of the words, if
+    their ``counts(word, n)`` in the corpus are given, otherwise of the network's tokens alone."""
+    corpus = Corpus(frequent, 0, counts, None if counts is None else bucket_sizes(counts, frequent))
+    return score_on(written(encoded(docs, corpus), "tokens"), weights, corpus)
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:
     """Scores of every whole text of ``documents`` under a model trained on all of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counts = written(count_words(need(docs, "text")), "counts")
-    return score(docs, *train(docs, counts), counts)
+    corpus = corpus_of(written(count_words(docs), "counts"))
+    made = written(encoded(docs, corpus), "tokens")
+    return score_on(made, train_on(made, corpus.words), corpus)

@@ -170,7 +170,7 @@ def plain_log_probability(w, tokens, at):
 def trained():
     texts = prose(300, seed=7, vocabulary=60)
     ordered = [" ".join(sorted(t.split())) for t in texts]  # neighbours tell much
-    vocabulary = pseudo.Vocabulary(sorted({w for t in ordered for w in t.split()}))
+    vocabulary = pseudo.Words(sorted({w for t in ordered for w in t.split()}))
     trainer = pseudo.Trainer(pseudo.start())
     for _ in range(3):
         trainer.learn(vocabulary.tokens(ordered[:250])[0])
@@ -196,7 +196,7 @@ def test_probabilities_of_all_tokens_sum_to_one(trained):
 
 def test_gradient_steps_follow_the_loss():
     """One step from the start lowers the loss of its own batch, in every group of weights."""
-    vocabulary = pseudo.Vocabulary([f"w{k}" for k in range(40)])
+    vocabulary = pseudo.Words([f"w{k}" for k in range(40)])
     tokens, _ = vocabulary.tokens([" ".join(f"w{k % 40}" for k in range(2000))])
     at = np.flatnonzero(tokens != pseudo.EDGE)
     before = pseudo.log_probabilities(pseudo.start(), tokens, at).mean()
@@ -221,7 +221,7 @@ def test_scores_of_rows(spark):
     frequent, w = pseudo.train(docs)
     rows = pseudo.score(docs, frequent, w).collect()
     assert len(rows) == docs.count()
-    vocabulary = pseudo.Vocabulary(frequent)
+    vocabulary = pseudo.Words(frequent)
     texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id IS NOT NULL").collect()}
     for r in rows:
         if r["doc_id"] is not None:
@@ -247,12 +247,13 @@ def test_every_word_is_predicted(spark, known, monkeypatch):
     docs = odd_docs(spark, texts)
     counts = pseudo.count_words(docs)
     frequent, w = pseudo.train(docs, counts)
-    vocabulary, n = pseudo.Vocabulary(frequent), {}
+    vocabulary, n = pseudo.Words(frequent), {}
     for r in docs.collect():
         for word in (r["text"] or "").lower().split():
             n[word] = n.get(word, 0) + 1
     assert {r["word"]: r["n"] for r in counts.collect()} == n
-    rare = {x: vocabulary[x] for x in n if vocabulary[x] >= pseudo.FREQUENT}
+    token = {x: int(vocabulary.tokens([x])[0][pseudo.REACH]) for x in n}
+    rare = {x: t for x, t in token.items() if t >= pseudo.FREQUENT}
     size = {t: sum(n[x] + pseudo.UNSEEN for x in rare if rare[x] == t) + pseudo.UNSEEN for t in set(rare.values())}
     alone = {r["doc_id"]: r["sum_logprob"] for r in pseudo.score(docs, frequent, w).collect()}
     rows = pseudo.score(docs, frequent, w, counts).collect()
@@ -264,14 +265,28 @@ def test_every_word_is_predicted(spark, known, monkeypatch):
             assert r["sum_logprob"] == pytest.approx(want, rel=1e-6)
     new = spark.createDataFrame([(1, "zzzzing")], "doc_id long, text string")
     extra = pseudo.score(new, frequent, w, counts).first()["sum_logprob"] - pseudo.score(new, frequent, w).first()["sum_logprob"]
-    assert extra == pytest.approx(np.log(pseudo.UNSEEN / size.get(vocabulary["zzzzing"], pseudo.UNSEEN)), abs=1e-6)
+    assert extra == pytest.approx(np.log(pseudo.UNSEEN / size.get(pseudo.FREQUENT + pseudo._bucket("zzzzing"), pseudo.UNSEEN)), abs=1e-6)
+
+
+def test_what_is_looked_up_is_bounded(monkeypatch):
+    words, texts = pseudo.Words(["a", "b"], {"cc": -1.5}), ["a cc x1 b", "", None, "x2 x1 cc"]
+    numbers, n = words.numbers(texts)
+    assert n.tolist() == [4, 0, 0, 3] and words.token[numbers][[0, 3]].tolist() == [0, 1]
+    shares, keys = words.share[numbers], words.key[numbers]
+    assert shares[[0, 3, 1, 6]].tolist() == [0, 0, -1.5, -1.5] and np.isnan(shares[[2, 4, 5]]).all()
+    assert keys[2] == keys[5] == pseudo._key("x1", pseudo._bucket("x1")) and not keys[[0, 1, 3, 6]].any()
+    monkeypatch.setattr(pseudo, "_MEMO", 3)
+    for k in range(5):
+        again, _ = words.numbers(["a cc x1 b", f"y{k} x2 x1 cc"])
+        assert words.key[again][[2, 6]].tolist() == [keys[2]] * 2 and len(words) <= 8
+    assert pseudo.edged(np.array([5, 6, 7], np.uint16), np.array([2, 0, 1])).tolist() == [pseudo.EDGE] * 2 + [5, 6] + [pseudo.EDGE] * 4 + [7] + [pseudo.EDGE] * 2
 
 
 def test_keys_are_sparks(spark):
     words = ["a", "aaing", "été", "中国人民", "😀😀😀x", "ab"]
     df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
     sizes = np.arange(1.0, pseudo.RARE + 1)
-    rest = spark.createDataFrame([(k, [pseudo._signed(pseudo._key(w))]) for k, w in enumerate(words)], "text_key long, rest array<long>")
+    rest = spark.createDataFrame([(k, [pseudo._key(w, pseudo._bucket(w))]) for k, w in enumerate(words)], "text_key long, rest array<long>")
     found = {r["key"]: r["within"] for r in pseudo.rest_shares(rest, df, sizes).collect()}
     assert found == {k: pytest.approx(np.log(1.5 / sizes[pseudo._bucket(w)])) for k, w in enumerate(words)}
 
