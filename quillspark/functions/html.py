@@ -8,6 +8,7 @@ from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -70,29 +71,33 @@ def searchable(content: Column, warning: Column, media: Column) -> Column:
     return F.array_join(parts, " ")
 
 
-def _is_mark(c: str) -> bool:
-    return unicodedata.category(c)[0] in "PZ"
+#: Runs of one kind: CJK characters, or others that are no white space, punctuation or separator.
+_RUNS = regex.compile(rf"(?P<cjk>[{CJK}]+)|[^{WHITE}\p{{P}}\p{{Z}}{CJK}]+")
 
 
-def marked(text: str, singles: set[str], pairs: set[str], words: set[str], folds: dict[int, str]) -> list[bool]:
-    """Which characters of a text node are part of a match."""
-    on, folded = [False] * len(text), text.translate(folds)
-    cjk = [bool(_IS_CJK.match(c)) for c in text]
-    for i, c in enumerate(folded):
-        if cjk[i]:
-            on[i] |= c in singles
-            if i + 1 < len(text) and cjk[i + 1] and folded[i : i + 2] in pairs:
-                on[i] = on[i + 1] = True
-    start = None
-    for i in range(len(text) + 1) if words else ():
-        inside = i < len(text) and not (cjk[i] or _WHITE.match(text[i]) or _is_mark(text[i]))
-        if inside and start is None:
-            start = i
-        elif not inside and start is not None:
-            if unicodedata.normalize("NFKC", text[start:i]).lower() in words:
-                on[start:i] = [True] * (i - start)
-            start = None
-    return on
+def marked(text: str, singles: set[str], pairs: set[str], words: set[str], folds: dict[int, str]) -> list[tuple[int, int]]:
+    """Spans of a text node that are part of a match, in order and merged where they touch."""
+    found: list[tuple[int, int]] = []
+
+    def add(lo: int, hi: int) -> None:
+        if found and found[-1][1] >= lo:
+            found[-1] = (found[-1][0], max(hi, found[-1][1]))
+        else:
+            found.append((lo, hi))
+
+    for run in _RUNS.finditer(text):
+        lo, hi = run.span()
+        if run["cjk"] is None:
+            if words and unicodedata.normalize("NFKC", run[0]).lower() in words:
+                add(lo, hi)
+        elif singles or pairs:
+            folded = run[0].translate(folds)
+            for k, c in enumerate(folded):
+                if c in singles:
+                    add(lo + k, lo + k + 1)
+                if folded[k : k + 2] in pairs:
+                    add(lo + k, lo + k + 2)
+    return found
 
 
 _IS_CJK = re.compile(f"[{CJK}]")
@@ -138,13 +143,11 @@ class _Marker(HTMLParser):
     def handle_data(self, data: str) -> None:
         plain = bool(self.open) and self.open[-1] in ("script", "style")
         show = (lambda s: s) if plain else (lambda s: escape(s, quote=False).replace(" ", "&nbsp;"))
-        on, i = self.find(data), 0
-        while i < len(data):
-            j = i
-            while j < len(data) and on[j] == on[i]:
-                j += 1
-            self.out.append(f"<mark>{show(data[i:j])}</mark>" if on[i] else show(data[i:j]))
-            i = j
+        at = 0
+        for lo, hi in self.find(data):
+            self.out += [show(data[at:lo]), "<mark>", show(data[lo:hi]), "</mark>"]
+            at = hi
+        self.out.append(show(data[at:]))
 
 
 def highlighted(html: str | None, found, folds: dict[int, str]) -> str | None:

@@ -25,6 +25,17 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
 
 
+#: Characters that NFKC neither changes nor joins with others: those below U+0180 that are their own form,
+#: and CJK ideographs, kana and CJK punctuation. Text of these alone, the usual case, needs no normalisation.
+STABLE = "".join(c if c.isalnum() or c == " " else f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x180)) if unicodedata.is_normalized("NFKC", c)) + "一-鿿ぁ-ゖァ-ヺー、。「」"
+
+
+def normalised(text: Column) -> Column:
+    """NFKC; only texts with a character that may change go through Python."""
+    may_change = text.rlike(f"[^{STABLE}]")
+    return F.when(may_change, nfkc(F.when(may_change, text))).otherwise(text)
+
+
 @cache
 def _folding(_session: str) -> tuple[str, str]:
     spark = SparkSession.getActiveSession()
@@ -84,7 +95,7 @@ def tokens(text: Column, normalized: bool = False) -> Column:
 
     ``normalized`` says that the text already is in NFKC, and spares the step.
     """
-    text = F.coalesce(text if normalized else nfkc(text), F.lit(""))
+    text = F.coalesce(text if normalized else normalised(text), F.lit(""))
     mixed = F.flatten(F.transform(_segments(spaced(fold(text))), lambda s: F.when(is_cjk(s), grams(s)).otherwise(F.array(s))))
     return F.when(has_cjk(text), mixed).otherwise(_segments(text))
 
@@ -122,6 +133,7 @@ def account_name(acct: Column) -> Column:
 
 
 def account_host(acct: Column) -> Column:
+    """What follows the first ``@``, up to a second; null if there is none."""
     return F.get(F.split(acct, "@"), F.lit(1))
 
 

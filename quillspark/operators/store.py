@@ -2,7 +2,8 @@
 
 A batch of fetched entries has ``seq``, its order of arrival. A status keeps what was stored first; an
 author keeps what came last; a type is added to a status once, in the order of first marks. All are
-partial aggregates on the key, so they are combined before the shuffle.
+partial aggregates on the key, so they are combined before the shuffle. Of entries with the same ``seq`` that with
+the smallest content counts. Entries without a status, or without its uri, are left out; so are authors without a name.
 """
 
 from __future__ import annotations
@@ -32,19 +33,21 @@ def typed(page: DataFrame, kind: str) -> DataFrame:
 def first_statuses(entries: DataFrame) -> DataFrame:
     """One row for each status: the first that arrived."""
     body = F.struct("s.content", "s.created_at", F.col("s.account.acct").alias("acct"), "s.id", "s.url", "s.spoiler_text", "s.media")
-    one = entries.groupBy("store_key", F.col("s.uri").alias("uri")).agg(F.min_by(body, "seq").alias("b"))
+    rank = F.struct("seq", F.to_json("s").alias("body"))  # ties by what is stored, so that the order of rows does not matter
+    one = entries.where("s.uri IS NOT NULL").groupBy("store_key", F.col("s.uri").alias("uri")).agg(F.min_by(body, rank).alias("b"))
     return one.select("store_key", "uri", *[f"b.{c}" for c in BODY])
 
 
 def last_authors(entries: DataFrame) -> DataFrame:
     """One row for each author: the last that arrived."""
-    one = entries.groupBy("store_key", F.col("s.account.acct").alias("acct")).agg(F.max_by("s.account", "seq").alias("a"))
+    rank = F.struct("seq", F.to_json("s.account").alias("body"))
+    one = entries.where("s.account.acct IS NOT NULL").groupBy("store_key", F.col("s.account.acct").alias("acct")).agg(F.max_by("s.account", rank).alias("a"))
     return one.select("store_key", "acct", "a.display_name", "a.avatar", "a.url")
 
 
 def marks(entries: DataFrame) -> DataFrame:
     """``(store_key, uri, type, seq)``: when each type was first marked."""
-    return entries.groupBy("store_key", F.col("s.uri").alias("uri"), "type").agg(F.min("seq").alias("seq"))
+    return entries.where("s.uri IS NOT NULL").groupBy("store_key", F.col("s.uri").alias("uri"), "type").agg(F.min("seq").alias("seq"))
 
 
 def types_of(marked: DataFrame, *keys: str) -> DataFrame:

@@ -49,6 +49,44 @@ def clear(spark: SparkSession) -> int:
     return len(made)
 
 
+def others(spark: SparkSession, folder: str, kept: set[str]) -> list[str]:
+    """What is in ``folder`` besides ``kept``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in files.listStatus(place)] if files.exists(place) else []
+    return [p.toString() for p in found if p.getName() not in kept]
+
+
+def _numbered(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete versions in ``folder``, in order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(place)]
+    done = [n for n in names if n.isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted(map(int, done))
+
+
+def publish(df: DataFrame, folder: str) -> None:
+    """Makes the small table ``df`` the current version of ``folder``.
+
+    A version is a new numbered folder that counts once it is complete, so readers find the last one or this
+    one, and a crash leaves the last. The version before is kept for those who read it now. There is one writer at a time.
+    """
+    spark = df.sparkSession
+    numbers = _numbered(spark, folder)
+    df.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{numbers[-1] + 1 if numbers else 1:012d}")
+    for n in numbers[:-1]:
+        delete(spark, f"{folder}/{n:012d}")
+
+
+def published(spark: SparkSession, folder: str, schema: str) -> list | None:
+    """Rows of the current version of ``folder``, which are few; nothing if there is none."""
+    numbers = _numbered(spark, folder)
+    return spark.read.schema(schema).parquet(f"{folder}/{numbers[-1]:012d}").collect() if numbers else None
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: ``df`` written there as Parquet and read again.
 

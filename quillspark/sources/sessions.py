@@ -13,6 +13,11 @@ from urllib.parse import quote
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.operators import index
+from quillspark.operators.cards import index_docs
+from quillspark.sources.place import delete, publish, published
+from quillspark.streaming import ingest
+
 REGISTRY = "place int, instance_url string, acct string, account_id string, active boolean"
 
 
@@ -28,6 +33,13 @@ class Account:
         return f"store:{self.instance_url}:{self.account_id}"
 
 
+@dataclass(frozen=True)
+class Opened:
+    account: Account
+    statuses: DataFrame
+    index: index.Index
+
+
 class Sessions:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base.rstrip("/")
@@ -42,9 +54,9 @@ class Sessions:
             return None
 
     def _rows(self) -> list:
-        table = self._read("registry", REGISTRY)
-        if table is not None:
-            return sorted(table.collect(), key=lambda r: r["place"])  # one row an account of this user
+        rows = published(self.spark, f"{self.base}/registry", REGISTRY)
+        if rows is not None:
+            return sorted(rows, key=lambda r: r["place"])  # one row an account of this user
         legacy = self._read("account", "instance_url string, acct string, account_id string")
         row = legacy.first() if legacy is not None else None
         if row is None:
@@ -53,7 +65,7 @@ class Sessions:
 
     def _save(self, accounts: list[Account], active: str | None) -> list:
         rows = [(k, a.instance_url, a.acct, a.account_id, a.key == active) for k, a in enumerate(accounts)]
-        self.spark.createDataFrame(rows, REGISTRY).coalesce(1).write.mode("overwrite").parquet(f"{self.base}/registry")
+        publish(self.spark.createDataFrame(rows, REGISTRY), f"{self.base}/registry")
         return self._rows()
 
     def accounts(self) -> list[Account]:
@@ -75,6 +87,25 @@ class Sessions:
     def remove(self, key: str) -> None:
         """Drops an account with its archive and index; if it was active, the first left becomes so."""
         active, kept = self.active(), [a for a in self.accounts() if a.key != key]
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(key))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.folder(key))
         self._save(kept, (kept[0].key if kept else None) if active == key else active)
+
+    def open(self) -> Opened | None:
+        """The active account with its statuses and index, which is built or grown if it does not fit; nothing
+        if no account is active. An active key that is no account falls back to the first one."""
+        kept = self.accounts()
+        if not kept:
+            return None
+        active = self.active()
+        account = next((a for a in kept if a.key == active), kept[0])
+        if account.key != active:
+            self.activate(account.key)
+        base = self.folder(account.key)
+        stored = ingest.statuses(self.spark, base)
+        return Opened(account, stored, index.load_or_build(self.spark, f"{base}/index", index_docs(stored)))
+
+    def switch(self, key: str) -> Opened | None:
+        """Makes another account the active one and opens it; an unknown key changes nothing."""
+        if key in {a.key for a in self.accounts()}:
+            self.activate(key)
+        return self.open()

@@ -2,11 +2,13 @@
 
 Each micro-batch appends what is new by anti-joins with the stored tables, so a batch that is run again
 after a failure adds nothing twice. The stream's checkpoint holds the position. Authors, which are
-replaced as a whole, are versioned by batch.
+replaced as a whole, are versioned, and the last version published.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.operators import index, store
 from quillspark.operators.cards import index_docs
+from quillspark.sources.place import delete, others, publish, published
 
 STATUSES = f"store_key string, uri string, content string, created_at string, acct string, id string, url string, spoiler_text string, media {store.MEDIA}"
 MARKS = "store_key string, uri string, type string, seq long"
@@ -29,8 +32,8 @@ def table(spark: SparkSession, base: str, name: str, schema: str) -> DataFrame:
 
 
 def authors(spark: SparkSession, base: str) -> DataFrame:
-    name = table(spark, base, "authors_current", "name string").first()
-    return table(spark, base, f"authors/{name[0]}", AUTHORS) if name else spark.createDataFrame([], AUTHORS)
+    name = published(spark, f"{base}/authors_current", "name string")
+    return table(spark, base, f"authors/{name[0][0]}", AUTHORS) if name else spark.createDataFrame([], AUTHORS)
 
 
 def statuses(spark: SparkSession, base: str) -> DataFrame:
@@ -44,14 +47,17 @@ def save_entries(entries: DataFrame, base: str, batch: int | str) -> None:
     spark = entries.sparkSession
     store.add_statuses(table(spark, base, "statuses", STATUSES), entries).write.mode("append").parquet(f"{base}/statuses")
     store.add_marks(table(spark, base, "marks", MARKS), entries).write.mode("append").parquet(f"{base}/marks")
-    store.upsert_authors(authors(spark, base), entries).write.mode("overwrite").parquet(f"{base}/authors/{batch}")
-    spark.createDataFrame([(str(batch),)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{base}/authors_current")
+    name = f"{batch}-{uuid.uuid4().hex}"
+    before = published(spark, f"{base}/authors_current", "name string")
+    store.upsert_authors(authors(spark, base), entries).write.parquet(f"{base}/authors/{name}")
+    publish(spark.createDataFrame([(name,)], "name string"), f"{base}/authors_current")
+    for old in others(spark, f"{base}/authors", {name, *(r[0] for r in before or [])}):
+        delete(spark, old)
 
 
 def grow_index(spark: SparkSession, base: str) -> index.Index:
-    """Adds to the stored index what the archive has and it has not."""
-    at = f"{base}/index"
-    return index.save(index.grow(index.load(spark, at), index_docs(table(spark, base, "statuses", STATUSES))), at)
+    """Adds to the stored index what the archive has and it has not, as a segment."""
+    return index.append(spark, f"{base}/index", index_docs(table(spark, base, "statuses", STATUSES)))
 
 
 def ingest(spark: SparkSession, landing: str, base: str, kind: str | None = None, max_files: int = 100) -> StreamingQuery:
