@@ -25,14 +25,21 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
 
 
+def _ranges(points: list[int]) -> str:
+    """Character class of the code points, which are in order."""
+    starts = [p for p in points if p - 1 not in set(points)]
+    ends = [p for p in points if p + 1 not in set(points)]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+
+
 #: Characters that NFKC neither changes nor joins with others: those below U+0180 that are their own form,
 #: and CJK ideographs, kana and CJK punctuation. Text of these alone, the usual case, needs no normalisation.
-STABLE = "".join(c if c.isalnum() or c == " " else f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x180)) if unicodedata.is_normalized("NFKC", c)) + "一-鿿ぁ-ゖァ-ヺー、。「」"
+STABLE = _ranges([c for c in range(0x180) if unicodedata.is_normalized("NFKC", chr(c))]) + "一-鿿ぁ-ゖァ-ヺー、。「」"
 
 
 def normalised(text: Column) -> Column:
     """NFKC; only texts with a character that may change go through Python."""
-    may_change = text.rlike(f"[^{STABLE}]")
+    may_change = text.rlike(r"[^\x00-\x7F]") & text.rlike(f"[^{STABLE}]")
     return F.when(may_change, nfkc(F.when(may_change, text))).otherwise(text)
 
 

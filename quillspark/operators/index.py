@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import is_cjk, terms, tokens, utf16_length
-from quillspark.sources.place import delete, others, publish, published
+from quillspark.sources.place import delete, others, publish, published, written
 
 #: To be raised whenever tokens, scores, tables or the indexed content change.
 VERSION = 2
@@ -57,7 +57,7 @@ def _meta(docs: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, normalized: bool = False) -> Index:
-    """Index of ``docs(uri, content)``.
+    """Index of ``docs(uri, content)``; its counts are written, so no text is cut twice.
 
     The texts are shuffled once, by uri. That makes uris unique, spreads an input of few large files over
     the tasks, and counts the terms of a document without a shuffle of postings.
@@ -65,10 +65,12 @@ def build(docs: DataFrame, normalized: bool = False) -> Index:
     one = docs.select("uri", "content").where("uri IS NOT NULL").groupBy("uri").agg(F.min("content").alias("content"))
     # The generator keeps the tokens from being computed once for each use.
     cut = one.select("uri", F.explode(F.array(tokens(F.col("content"), normalized))).alias("raw"))
-    cut = cut.select("uri", "raw", F.size(F.array_distinct("raw")).cast("long").alias("field_length"))
-    postings = cut.select("uri", "field_length", F.explode(terms(F.col("raw"))).alias("term")).groupBy("uri", "field_length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    postings = postings.select("term", "uri", "tf", "field_length")
-    lengths = cut.select("uri", "field_length")
+    cut = cut.select("uri", "raw", F.size(F.array_distinct("raw")).cast("long").alias("field_length"))  # before the rows are multiplied
+    counted = cut.select("uri", "field_length", F.explode_outer(terms(F.col("raw"))).alias("term"))
+    # A document without terms has one row with a null term here, so one table holds both postings and lengths.
+    counted = written(counted.groupBy("uri", "field_length", "term").agg(F.count(F.lit(1)).alias("tf")), "counted")
+    postings = counted.where("term IS NOT NULL").select("term", "uri", "tf", "field_length")
+    lengths = counted.select("uri", "field_length").groupBy("uri").agg(F.first("field_length").alias("field_length"))
     return Index(lengths, _dictionary(postings), postings, _meta(lengths))
 
 
@@ -77,12 +79,8 @@ def _write(index: Index, base: str) -> tuple[int, str, int, int]:
     spark, name = index.docs.sparkSession, uuid.uuid4().hex
     path = f"{base}/segments/{name}"
     index.docs.write.parquet(f"{path}/docs")
-    # Counted once into a staging table: dealing by ranges reads its input twice.
-    index.postings.write.parquet(f"{path}/staged")
     # Sorted by term, so that a lookup of given terms skips files and row groups; a hot term may span files.
-    staged = spark.read.parquet(f"{path}/staged")
-    staged.repartitionByRange("term", "uri").sortWithinPartitions("term", "uri").write.parquet(f"{path}/postings")
-    delete(spark, f"{path}/staged")
+    index.postings.repartitionByRange("term", "uri").sortWithinPartitions("term", "uri").write.parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     _dictionary(stored).sortWithinPartitions("is_cjk", "term").write.partitionBy("is_cjk").parquet(f"{path}/terms")
     row = _meta(spark.read.parquet(f"{path}/docs")).first()

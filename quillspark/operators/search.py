@@ -50,9 +50,11 @@ PUSHED, BROADCAST = 500, 100_000
 
 
 def one_of(column: Column, values: list[str]) -> Column:
-    """Membership in a form that is pushed into a Parquet scan value by value (longer lists would be as a range)."""
-    parts = [column.isin(values[k : k + 10]) for k in range(0, len(values), 10)]
-    return reduce(lambda a, b: a | b, parts)
+    """Membership in a form that is pushed into a Parquet scan: a few values one by one (a list of over ten would
+    be pushed as a range), more of them as a range and then looked up in a set."""
+    if len(values) > 30:
+        return column.isin(values)
+    return reduce(lambda a, b: a | b, [column.isin(values[k : k + 10]) for k in range(0, len(values), 10)])
 
 
 def candidates(index: Index, asked: list[tuple[int, str]]) -> DataFrame:
