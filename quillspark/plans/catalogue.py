@@ -307,7 +307,7 @@ def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qpos", "term", "df", "distance", F.round("weight", 6).alias("weight"))
 
 
-PAIRS = [("kitten", "sitting"), ("abc", "abc"), ("", "abc"), ("ab", "ba"), ("book", "back"), ("running", "runing"), ("a", "bcdefg")]
+PAIRS = [("bitter", "butter"), ("abc", "abc"), ("", "abc"), ("ab", "ba"), ("book", "back"), ("walking", "walkng"), ("a", "bcdefg")]
 
 
 @query("edit_distance", f"SELECT a, b, CASE WHEN levenshtein(a, b) <= 2 THEN levenshtein(a, b) ELSE -1 END::INT AS distance FROM {_values(PAIRS, 'a, b')}")

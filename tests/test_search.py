@@ -13,10 +13,10 @@ from quillspark.sources.place import fresh_dir
 from tests_util import plain_tokens
 
 TEXTS = {
-    "1": "我的電腦壞了，電腦真貴", "2": "电脑维修 computer repair", "3": "Running quickly; runing slowly running", "4": "the quick brown fox", "5": "The quik browm foxes",
-    "6": "", "7": "計算機科學 science Science", "8": "世界 hello world", "9": "coding coding Coding", "10": "café 咖啡", "11": "裡面 inside", "12": None,
+    "1": "他的書車壞了，書車真舊", "2": "书车修理 bicycle repair", "3": "Walking slowly; walkng slowly walking", "4": "an old grey train", "5": "An olt gray trains",
+    "6": "", "7": "國語學校 grammar Grammar", "8": "朋友 dear friend", "9": "baking baking Baking", "10": "crème 奶油", "11": "關門 outside", "12": None,
 }
-QUERIES = ["电脑", "電腦", "running", "runing", "quick fox", "the quick", "計算機", "coding", "hello wrld", "science", "裏面", "nothinglikeit", "running running", "café", "", "，", "fox 电", "a"]
+QUERIES = ["书车", "書車", "walking", "walkng", "grey train", "an old", "國語", "baking", "dear frend", "grammar", "关门", "nothinglikeit", "walking walking", "crème", "", "，", "train 书", "a"]
 
 
 def table(spark, texts=None):
