@@ -151,10 +151,21 @@ def _bucket_of(word: Column) -> Column:
     return (F.crc32(F.encode(F.substring(word, -3, 3), "UTF-8")) % RARE).cast("int")
 
 
-def known_shares(counts: DataFrame, sizes: np.ndarray) -> dict[str, float]:
-    """Log-probability within its bucket of each of the most frequent words."""
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    return {r["word"]: float(np.log((r["n"] + UNSEEN) / sizes[_bucket(r["word"])])) for r in top}
+def top_words(counts: DataFrame) -> list[tuple[str, int]]:
+    """About the ``KNOWN`` most frequent words with their counts, most frequent first; the first ``FREQUENT``
+    are exactly the most frequent ones, ties by word.
+
+    A sketch of the counts gives the bound from which words are collected, so that no more reaches the
+    driver, however many partitions there are.
+    """
+    words = counts.count()
+    found = counts
+    if words > KNOWN:
+        at = counts.agg(F.percentile_approx("n", 1 - KNOWN / words, 200_000).alias("at")).first()["at"]
+        found = counts.where(F.col("n") > at)
+        if found.limit(FREQUENT).count() < FREQUENT:  # too many share the bound
+            found = counts.orderBy(F.desc("n"), "word").limit(FREQUENT)
+    return sorted(((r["word"], r["n"]) for r in found.select("word", "n").collect()), key=lambda w: (-w[1], w[0]))
 
 
 def rest_shares(rest: DataFrame, counts: DataFrame, sizes: np.ndarray) -> DataFrame:
@@ -327,19 +338,25 @@ MOST_TASKS = 100_000
 @dataclass(frozen=True)
 class Corpus:
     """What is known of all words: those with a token of their own, the number of running words, and, if
-    words are to be predicted within their buckets, all counts and the smoothed sizes of the buckets."""
+    words are to be predicted within their buckets, all counts, the smoothed sizes of the buckets, and the
+    log-probability within its bucket of each of the most frequent words."""
 
     frequent: list[str]
     words: int
     counts: DataFrame | None = None
     sizes: np.ndarray | None = None
+    shares: dict[str, float] | None = None
 
 
-def corpus_of(counts: DataFrame, within: bool = True) -> Corpus:
+def corpus_of(counts: DataFrame, frequent: list[str] | None = None, within: bool = True) -> Corpus:
     counts = counts.select("word", "n")
-    frequent = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    top = top_words(counts)
+    frequent = [w for w, _ in top[:FREQUENT]] if frequent is None else frequent
     words = counts.agg(F.sum("n")).first()[0] or 0
-    return Corpus(frequent, words, counts, bucket_sizes(counts, frequent)) if within else Corpus(frequent, words)
+    if not within:
+        return Corpus(frequent, words)
+    sizes = bucket_sizes(counts, frequent)
+    return Corpus(frequent, words, counts, sizes, {w: float(np.log((n + UNSEEN) / sizes[_bucket(w)])) for w, n in top})
 
 
 def encoded(docs: DataFrame, corpus: Corpus) -> DataFrame:
@@ -349,9 +366,8 @@ def encoded(docs: DataFrame, corpus: Corpus) -> DataFrame:
     """
     rows = need(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shares = known_shares(corpus.counts, corpus.sizes) if corpus.counts is not None else None
-    shared = docs.sparkSession.sparkContext.broadcast(Words(corpus.frequent, shares))
-    asked = shares is not None
+    shared = docs.sparkSession.sparkContext.broadcast(Words(corpus.frequent, corpus.shares))
+    asked = corpus.shares is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
@@ -453,7 +469,7 @@ def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[list[str],
 def score(docs: DataFrame, frequent: list[str], weights: Weights, counts: DataFrame | None = None) -> DataFrame:
     """``(doc_id, n_tokens, sum_logprob, mean_logprob)`` a row of any ``docs(doc_id, text)``: of the words, if
     their ``counts(word, n)`` in the corpus are given, otherwise of the network's tokens alone."""
-    corpus = Corpus(frequent, 0, counts, None if counts is None else bucket_sizes(counts, frequent))
+    corpus = Corpus(frequent, 0) if counts is None else corpus_of(counts, frequent)
     return score_on(written(encoded(docs, corpus), "tokens"), weights, corpus)
 
 

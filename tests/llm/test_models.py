@@ -282,6 +282,18 @@ def test_what_is_looked_up_is_bounded(monkeypatch):
     assert pseudo.edged(np.array([5, 6, 7], np.uint16), np.array([2, 0, 1])).tolist() == [pseudo.EDGE] * 2 + [5, 6] + [pseudo.EDGE] * 4 + [7] + [pseudo.EDGE] * 2
 
 
+def test_top_words(spark, monkeypatch):
+    """The exact most frequent words, whatever is collected besides; also if very many share a count."""
+    monkeypatch.setattr(pseudo, "KNOWN", 100)
+    monkeypatch.setattr(pseudo, "FREQUENT", 30)
+    rnd = np.random.default_rng(2)
+    for n in (rnd.zipf(1.3, 3000).clip(max=10**6), np.ones(3000, int), np.append(np.full(40, 9), np.ones(2000, int)), np.arange(1, 51)):
+        rows = [(f"w{k}", int(c)) for k, c in enumerate(n)]
+        want = sorted(rows, key=lambda r: (-r[1], r[0]))
+        found = pseudo.top_words(spark.createDataFrame(rows, "word string, n long"))
+        assert found[:30] == want[:30] and found == want[: len(found)] and len(found) <= 110
+
+
 def test_keys_are_sparks(spark):
     words = ["a", "aaing", "été", "中国人民", "😀😀😀x", "ab"]
     df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
