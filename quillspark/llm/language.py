@@ -30,7 +30,7 @@ from quillspark.llm.common import need
 UNKNOWN = "und"
 LENGTHS = (1, 2, 3, 4)
 #: Buckets of each length's n-grams: enough that a text of a million characters leaves most of them empty.
-BUCKETS = (1 << 12, 1 << 14, 1 << 17, 1 << 18)
+BUCKETS = (1 << 12, 1 << 14, 1 << 17, 1 << 17)
 #: Bounds of what is learned from: languages (those with the most texts), texts and landmarks of all of
 #: them together, and texts and landmarks of one (those whose hashed doc_id is smallest). Only the
 #: numbers of their n-gram buckets reach the driver, of a long text every so many-th bucket number.
@@ -40,7 +40,7 @@ GRAMS = 4_096
 RIDGE = 1e-2
 _LETTERLIKE = re.compile(r"[^\W\d_]")  # fractions and raised digits too
 _ODD = np.uint32(2654435769)
-_ROWS = 256
+_ROWS, _MARKS = 128, 32
 
 
 def has_letter(text: str) -> bool:
@@ -134,12 +134,11 @@ def fit_kernel(rows: list[list[np.ndarray]], langs: np.ndarray, landmarks: int =
     each = max(1, min(landmarks, LANDMARKS // len(languages)))
     marks = np.concatenate([np.flatnonzero(langs == name)[:each] for name in languages])
     kernel = np.zeros((len(rows), len(marks)))
-    by_length = [Presence.of([r[k] for r in rows]) for k in range(len(LENGTHS))]
-    flat = [Presence.of([rows[i][k] for i in marks]).scattered(b) for k, b in enumerate(BUCKETS)]
-    for own, m in zip(by_length, flat, strict=True):
-        for at in range(0, len(rows), _ROWS):
-            bounds = own.ends[at : at + _ROWS + 1]
-            kernel[at : at + _ROWS] += Presence(own.buckets[bounds[0] : bounds[-1]], bounds - bounds[0]).times(m)
+    for k, b in enumerate(BUCKETS):  # some landmarks and rows at a time, so that little is dense at once
+        for m in range(0, len(marks), _MARKS):
+            dense = Presence.of([rows[i][k] for i in marks[m : m + _MARKS]]).scattered(b)
+            for at in range(0, len(rows), _ROWS):
+                kernel[at : at + _ROWS, m : m + _MARKS] += Presence.of([r[k] for r in rows[at : at + _ROWS]]).times(dense)
     values, vectors = np.linalg.eigh(kernel[marks])
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T  # K^(-1/2)
     features = kernel @ root
@@ -150,7 +149,11 @@ def fit_kernel(rows: list[list[np.ndarray]], langs: np.ndarray, landmarks: int =
     x, y = (features - middle) * np.sqrt(weight), (target - level) * np.sqrt(weight)
     solved = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y)
     onto = (root @ solved).astype(np.float32)
-    return KernelModel(languages, tuple(m @ onto for m in flat), (level - middle @ solved).astype(np.float32))
+    weights = tuple(np.zeros((b, len(languages)), np.float32) for b in BUCKETS)
+    for m, i in enumerate(marks):
+        for k, own in enumerate(rows[i]):  # a row's buckets are distinct
+            weights[k][own] += onto[m] / np.float32(np.sqrt(max(1, len(own))))
+    return KernelModel(languages, weights, (level - middle @ solved).astype(np.float32))
 
 
 def held_out(doc_id: Column) -> Column:
