@@ -7,7 +7,7 @@ and no participant.
 
 An example holds a whole conversation, whatever its length, so a conversation must fit in a row.
 Conversations too long for the consumer can be cut on demand (``per_example``): then a segment holds that
-many consecutive turn numbers and starts with the system turns of earlier segments, which are context and never masked in;
+many consecutive turn numbers and starts with the system turns of earlier segments, which are never in a mask;
 only those who speak in a segment have a perspective of it.
 
 Participants are told apart by their raw role. In the shown name ``%``, ``|``, ``<``, ``>`` and line ends are
