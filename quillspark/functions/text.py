@@ -43,9 +43,22 @@ def normalised(text: Column) -> Column:
     return F.when(may_change, nfkc(F.when(may_change, text))).otherwise(text)
 
 
+#: Session setting with the path of a folding table that is used instead of ICU's rules, as it is: UTF-8
+#: lines of a character, a tab and its simplified form. An index must be searched with the table it was built with.
+FOLDS = "spark.quillspark.folds"
+
+
 @cache
-def _folding(_session: str) -> tuple[str, str]:
+def _folding(_session: str, path: str | None) -> tuple[str, str]:
     spark = SparkSession.getActiveSession()
+    if path:
+        lines = [r["value"].split("\t") for r in spark.read.text(path).collect()]  # no more than there are characters
+        if wrong := [x for x in lines if list(map(len, x)) != [1, 1]]:
+            raise ValueError(f"{path}: a line must be two characters with a tab between, not {wrong[0]}")
+        table = dict(lines)
+        if len(table) < len(lines):
+            raise ValueError(f"{path}: a character is given twice")
+        return "".join(table), "".join(table.values())
     rule = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")
     bounds = [(CJK[i], CJK[i + 2]) for i in range(0, len(CJK), 3)]  # low, hyphen, high
     chars = [chr(c) for lo, hi in bounds for c in range(ord(lo), ord(hi) + 1)]
@@ -62,8 +75,9 @@ def _folding(_session: str) -> tuple[str, str]:
 
 
 def folding() -> tuple[str, str]:
-    """Traditional characters and, at the same places, their simplified forms, by ICU's rules."""
-    return _folding(SparkSession.getActiveSession().sparkContext.applicationId)
+    """Traditional characters and, at the same places, their simplified forms, by ICU's rules or the table of ``FOLDS``."""
+    spark = SparkSession.getActiveSession()
+    return _folding(spark.sparkContext.applicationId, spark.conf.get(FOLDS, None))
 
 
 def fold(text: Column) -> Column:

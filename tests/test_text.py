@@ -55,6 +55,24 @@ def test_folding(spark):
     assert all(table[x] == y for x, y in zip("開門國機語讀書車關", "开门国机语读书车关"))
 
 
+def test_folding_table_of_ones_own(spark, tmp_path):
+    table = tmp_path / "folds.tsv"
+    table.write_text("門\t门\n甲\t乙\n乙\t丙\n", encoding="utf-8")
+    twice, long = tmp_path / "twice.tsv", tmp_path / "long.tsv"
+    twice.write_text("門\t门\n門\t問\n", encoding="utf-8")
+    long.write_text("門\t门门\n", encoding="utf-8")
+    try:
+        spark.conf.set(text.FOLDS, f"file://{table}")
+        assert tokens(spark, ["門", "甲", "乙", "國"]) == [["门"], ["乙"], ["丙"], ["國"]]
+        for wrong in (twice, long):
+            spark.conf.set(text.FOLDS, f"file://{wrong}")
+            with pytest.raises(ValueError):
+                text.folding()
+    finally:
+        spark.conf.unset(text.FOLDS)
+    assert tokens(spark, ["國"]) == [["国"]]
+
+
 def test_traditional_and_simplified_are_one(spark):
     assert tokens(spark, ["他的書車", "關門讀國語"]) == tokens(spark, ["他的书车", "关门读国语"])
 
