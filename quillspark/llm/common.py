@@ -26,7 +26,7 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def tiled(rows: DataFrame, key: str, member: str, limit: int) -> DataFrame:
+def tiled(rows: DataFrame, key: str, member: str, limit: int, coarse: str | None = None) -> DataFrame:
     """Adds ``tile``, ``part`` and ``cross``: the bucket itself, or for a bucket of over ``limit`` rows
     one of several tiles.
 
@@ -34,9 +34,15 @@ def tiled(rows: DataFrame, key: str, member: str, limit: int) -> DataFrame:
     holds two parts (``cross``) or one, so that every two rows meet in some tile, no tile has more than
     about twice ``limit`` rows, and no task gets the whole bucket. Two rows of different parts meet in
     one cross tile, two of the same part in that part's own tile. Counts are aggregated before the
-    shuffle, and only the few large buckets enter the join.
+    shuffle, and only the few large buckets enter the join. ``coarse`` names a column that is the same
+    in all rows of a bucket and has far fewer values: only buckets of its large groups are counted.
     """
-    large = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+    counted = rows
+    if coarse:
+        crowded = rows.groupBy(F.col(coarse).alias("_coarse")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+        crowded = written(crowded.select("_coarse"), "crowded")
+        counted = rows.join(crowded, rows[coarse] == crowded["_coarse"], "left_semi")
+    large = counted.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
     large = written(large.select("_key", F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("_k")), "large")
     dealt = rows.join(large, rows[key] == large["_key"], "left")
     part = F.coalesce(F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_k")).cast("int"), F.lit(0))

@@ -17,13 +17,14 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import broadcast_small, need, tiled, written
@@ -165,11 +166,14 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
 
 
-def search(bucket: np.ndarray, codes: np.ndarray, radius: int, most: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+def search(
+    bucket: np.ndarray, codes: np.ndarray, radius: int, most: int = 1 << 15, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) that connect all codes of a bucket which differ in at most ``radius`` bits.
 
     ``bucket`` and ``codes`` must be sorted by bucket, then Gray rank. Every such pair is linked
-    directly or through the members of a group of which all pairs are that near.
+    directly or through the members of a group of which all pairs are that near. Pairs looked at one by
+    one are left out where ``fits(i, j)`` is false.
     """
     levels = _levels(bucket, codes)
     top = len(levels) - 1
@@ -187,7 +191,11 @@ def search(bucket: np.ndarray, codes: np.ndarray, radius: int, most: int = 1 <<
         keep = near <= radius
         a, b, near, both = a[keep], b[keep], near[keep], both[keep]
         if depth == 0:
-            found.append((a[a != b], b[a != b]))
+            a, b = a[a != b], b[a != b]
+            if fits is not None:
+                good = fits(a, b)
+                a, b = a[good], b[good]
+            found.append((a, b))
             continue
         whole = near + np.bitwise_count(~both) <= radius
         if whole.any():
@@ -220,13 +228,10 @@ def choices(n: int, radius: int, bits: int, bucket_rows: int) -> list[tuple[int,
     return masks
 
 
-def _in_tiles(codes: DataFrame, n: int, radius: int, bits: int, bucket_rows: int, columns: tuple[str, ...], made, schema: str) -> DataFrame:
-    """``made(own, columns)`` over the tiles of ``codes(lane, code, node, ...)``, of which a lane has ``n``:
-    ``own`` numbers the rows' tiles."""
-    signed = lambda k: k - (1 << 64) if k >> 63 else k
-    keys = [F.xxhash64(F.lit(k), "lane", F.col("code").bitwiseAND(F.lit(signed(mask)).cast("long"))) for k, mask in enumerate(choices(n, radius, bits, bucket_rows))]
-    rows = codes.select(*columns, F.explode(F.array(*keys)).alias("block"))
-    dealt = tiled(rows, "block", "node", bucket_rows).repartition("block", "tile").sortWithinPartitions("block", "tile")
+def _in_tiles(rows: DataFrame, bucket_rows: int, columns: tuple[str, ...], made, schema: str, coarse: str | None = None) -> DataFrame:
+    """``made(own, columns)`` over the tiles of ``rows(block, node, ...)``: ``own`` numbers the rows' tiles."""
+    dealt = tiled(rows, "block", "node", bucket_rows, coarse).select("block", "tile", *columns)
+    dealt = dealt.repartition("block", "tile").sortWithinPartitions("block", "tile")
 
     def of_tiles(block: np.ndarray, tile: np.ndarray, *rest: np.ndarray) -> pd.DataFrame:
         own = np.cumsum(np.concatenate(([0], ((block[1:] != block[:-1]) | (tile[1:] != tile[:-1])).astype(np.int64))))
@@ -276,7 +281,10 @@ def near_links(codes: DataFrame, n: int, radius: int = 4, bits: int = 64, bucket
         kept = forest(len(code), a, b, cost[order])
         return pd.DataFrame({"a": np.concatenate((node[equal], least[a[kept]])), "b": np.concatenate((node[to], least[b[kept]]))})
 
-    return _in_tiles(codes, n, radius, bits, bucket_rows, ("code", "node"), links, "a long, b long")
+    signed = lambda k: k - (1 << 64) if k >> 63 else k
+    keys = [F.xxhash64(F.lit(k), "lane", F.col("code").bitwiseAND(F.lit(signed(mask)).cast("long"))) for k, mask in enumerate(choices(n, radius, bits, bucket_rows))]
+    rows = codes.select("code", "node", F.explode(F.array(*keys)).alias("block"))
+    return _in_tiles(rows, bucket_rows, ("code", "node"), links, "a long, b long")
 
 
 def _parts(checks: np.ndarray, most: int) -> np.ndarray:
@@ -294,33 +302,36 @@ def _parts(checks: np.ndarray, most: int) -> np.ndarray:
     return part
 
 
-def near_clusters(codes: DataFrame, n: int, radius: int, bits: int, most: int, bucket_rows: int = BUCKET) -> DataFrame:
-    """Clusters ``(cluster, node)`` of two nodes or more of ``codes(lane, code, node, c1, c2, grp)``, ``n`` a lane:
-    each pair of a lane within ``radius`` of ``bits`` bits, and within ``most`` bits in c1 and c2, is in
-    one of them, unless both are of the same ``grp``.
+def near_clusters(codes: DataFrame, radius: int, most: int, bucket_rows: int = BUCKET) -> DataFrame:
+    """Clusters ``(cluster, node)`` of two nodes or more of ``codes(block, coarse, node, c1, c2, grp)``: each pair of a
+    block within ``radius`` bits in c1 and within ``most`` in c1 and c2 is in one of them, unless both are of
+    the same ``grp``. Rows of a block have the same ``coarse``.
 
     Clusters are whole: nothing is chosen among a cluster's pairs; those of nodes of one group alone, which
-    are connected already, are left out. Equal clusters of several lanes or
-    blocks have the same number. No cluster is larger than a tile.
+    are connected already, are left out. Equal clusters of several blocks have the same number. No cluster is larger than a tile.
     """
 
-    def clusters(own: np.ndarray, code: np.ndarray, node: np.ndarray, c1: np.ndarray, c2: np.ndarray, grp: np.ndarray) -> pd.DataFrame:
-        code = code.view(np.uint64)
-        order = np.lexsort((node, gray_rank(code), own))
+    def clusters(own: np.ndarray, node: np.ndarray, c1: np.ndarray, c2: np.ndarray, grp: np.ndarray) -> pd.DataFrame:
+        none = np.zeros(0, np.int64)
+        shared = np.bincount(own)[own] > 1
+        if not shared.any():
+            return pd.DataFrame({"cluster": none, "node": none})
+        own, node, c1, c2, grp = own[shared], node[shared], c1[shared], c2[shared], grp[shared]
+        code = c1.view(np.uint64)
+        order = np.lexsort((node, c2, gray_rank(code), own))
         own, code, node, grp, checks = own[order], code[order], node[order], grp[order], np.stack((c1[order], c2[order]), axis=1)
-        fresh = np.append(True, (own[1:] != own[:-1]) | (code[1:] != code[:-1]))
+        fresh = np.append(True, (own[1:] != own[:-1]) | (checks[1:] != checks[:-1]).any(axis=1))
         first = np.flatnonzero(fresh)
-        a, b = search(own[first], code[first], radius)
+        x, y = checks[first].T.copy().view(np.uint64)
+        a, b = search(own[first], code[first], radius, fits=lambda i, j: np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= most)
         of = local_roots(len(first), a, b)[np.cumsum(fresh) - 1]
         order = np.lexsort((node, of))
-        bounds = np.append(np.flatnonzero(np.append(True, np.diff(of[order]) != 0)), len(order))
+        starts = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
+        ends = np.append(starts[1:], len(order))
         names, nodes = [], []
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if hi - lo == 1:
-                continue
+        mixed = np.minimum.reduceat(grp[order], starts) != np.maximum.reduceat(grp[order], starts)
+        for lo, hi in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
             rows = order[lo:hi]
-            if (grp[rows] == grp[rows[0]]).all():
-                continue
             part = _parts(checks[rows], most)
             for k in range(part.max() + 1):
                 inside = rows[part == k]
@@ -328,10 +339,9 @@ def near_clusters(codes: DataFrame, n: int, radius: int, bits: int, most: int, b
                 if len(members) > 1 and (grp[inside] != grp[inside[0]]).any():
                     nodes.append(members)
                     names.append(np.full(len(members), np.uint64(xxhash.xxh64_intdigest(members.tobytes(), SEED)).view(np.int64)))
-        none = np.zeros(0, np.int64)
         return pd.DataFrame({"cluster": np.concatenate((none, *names)), "node": np.concatenate((none, *nodes))})
 
-    return _in_tiles(codes, n, radius, bits, bucket_rows, ("code", "node", "c1", "c2", "grp"), clusters, "cluster long, node long").distinct()
+    return _in_tiles(codes, bucket_rows, ("node", "c1", "c2", "grp"), clusters, "cluster long, node long", "coarse").distinct()
 
 
 def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, bucket_rows: int = BUCKET) -> DataFrame:
@@ -349,12 +359,14 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, bucket_rows
     return fps.join(named, fps["fp"] == named["code"]).select("doc_id", "fp", "component_id")
 
 
-#: Of the similarity search: 64-bit parts of the fingerprint, lanes of 32 bits of it that are indexed,
-#: bits that a lane may differ in. Two texts of Jaccard similarity 0.8 differ in about 15 % of the bits, so
-#: in a lane in three or fewer with a chance of 0.26; one lane of 20 then meets with a chance of 0.998.
-PARTS, LANES, LANE_BITS, LANE_RADIUS = 24, 20, 32, 3
-#: Lanes of the first round.
-FIRST_LANES = 6
+#: 64-bit parts of the similarity search's fingerprint.
+PARTS = 24
+#: Rows of a bucket that the keys' width aims at, least width of a key, chance to miss a pair at the threshold.
+KEY_ROWS, KEY_BITS, MISSED = 64, 14, 0.002
+#: Of the keys, the share that makes the first round.
+FIRST = 0.3
+#: Bits of 64 that two codes of a bucket may differ in. At 0.8 about 10 differ, with a standard deviation of 2.9.
+RADIUS = 20
 
 
 #: Estimated similarities that are nearer to the threshold than this are verified. At 0.8 the estimate's
@@ -364,7 +376,7 @@ MARGIN = 0.09
 EXACT = 256
 #: Texts of at most so many shingles are also found by prefix filtering, as few shingles give poor fingerprints.
 SHORT = 32
-#: Bits of 128 beyond which two codes that met in a lane are no candidates: at 0.8 about 20 differ, with a
+#: Bits of 128 beyond which two codes that met in a bucket are no candidates: at 0.8 about 20 differ, with a
 #: standard deviation of 4.1; of unlike texts 64 do.
 CHECKED = 40
 
@@ -380,20 +392,56 @@ def prefix(hashes: np.ndarray, share: float) -> np.ndarray:
     return hashes[: len(hashes) - int(np.ceil(share * len(hashes) - 1e-9)) + 1]
 
 
-def candidates(wide: DataFrame, n: int, lanes: range, bucket_rows: int = BUCKET) -> DataFrame:
-    """``(cluster, node)`` of ``wide(node, bits, grp)`` by some of the lanes: the pairs of each cluster are
+def key_plan(n: int, share: float) -> tuple[int, int]:
+    """Width and number of the keys for ``n`` fingerprints.
+
+    The width keeps buckets at about ``KEY_ROWS`` unlike codes whatever ``n`` is, so the pairs looked at grow as the
+    rows do. Two sets of a Jaccard similarity of ``share`` differ in a bit with a chance that follows from
+    the angle between them; the number of keys is that at which all differ with a chance of ``MISSED``. Keys
+    beyond the stretches there are share bits with others, so half as many again are added for these.
+    """
+    width = max(KEY_BITS, (max(n - 1, 0) // KEY_ROWS).bit_length())
+    same = 1 - math.acos(2 * share / (1 + share)) / math.pi
+    number = math.ceil(math.log(MISSED) / math.log1p(-(same**width)))
+    return width, number + max(0, number - 64 * PARTS // width) // 2
+
+
+def key_windows(k: int, width: int) -> list[tuple[int, int]]:
+    """First bit and number of bits of the pieces of key ``k``: a stretch of the fingerprint that no other key has
+    as long as there are such; then half of one stretch with half of another, no two twice."""
+    of = 64 * PARTS // width
+    lap, at = divmod(k, of)
+    half = width // 2
+    return [(at * width, half), ((at + lap) % of * width + half, width - half)] if lap else [(at * width, width)]
+
+
+def _window(start: int, width: int) -> Column:
+    word, at = divmod(start, 64)
+    low = F.shiftrightunsigned(F.col("bits")[word], at)
+    if at + width > 64:
+        low = low.bitwiseOR(F.shiftleft(F.col("bits")[word + 1], 64 - at))
+    return low.bitwiseAND(F.lit((1 << width) - 1))
+
+
+def candidates(wide: DataFrame, width: int, numbers: range, bucket_rows: int = BUCKET) -> DataFrame:
+    """``(cluster, node)`` of ``wide(node, bits, grp)`` by some of the keys: the pairs of each cluster are
     to be compared, but for those of one ``grp``."""
-    each = F.explode(F.array(*[
-        F.struct(
-            F.lit(k).alias("lane"),
-            F.shiftrightunsigned(F.col("bits")[k // 2], LANE_BITS * (k % 2)).bitwiseAND(F.lit((1 << LANE_BITS) - 1)).alias("code"),
-            F.col("bits")[(k // 2 + 8) % PARTS].alias("c1"),
-            F.col("bits")[(k // 2 + 16) % PARTS].alias("c2"),
-        )
-        for k in lanes
-    ]))
-    codes = wide.select("node", "grp", each.alias("x")).select("x.lane", "x.code", "node", "x.c1", "x.c2", "grp")
-    return near_clusters(codes, n, LANE_RADIUS, LANE_BITS, CHECKED, bucket_rows)
+    keys = []
+    for k in numbers:
+        low, *high = key_windows(k, width)
+        keys.append(_window(*low).bitwiseOR(F.shiftleft(_window(*high[0]), low[1])) if high else _window(*low))
+    each = wide.select("node", "grp", "bits", F.posexplode(F.array(*keys)).alias("at", "key"))
+    number = F.col("at") + numbers.start
+    word = F.floor(number % (64 * PARTS // width) * width / 64).cast("int")
+    codes = each.select(
+        "node",
+        "grp",
+        F.xxhash64(number, "key").alias("block"),
+        F.xxhash64(number, F.shiftright("key", 6)).alias("coarse"),
+        F.get("bits", (word + 8) % PARTS).alias("c1"),
+        F.get("bits", (word + 16) % PARTS).alias("c2"),
+    )
+    return near_clusters(codes, RADIUS, CHECKED, bucket_rows)
 
 
 def rare_candidates(wide: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
@@ -468,19 +516,20 @@ def similar_groups(wide: DataFrame, rows: DataFrame, names: DataFrame, width: in
     """``(node, root)`` of the nodes of ``wide(node, n, bits, rare)`` that are connected by a Jaccard similarity of at
     least ``share``. All pairs of a cluster are compared before any is left out.
 
-    The first lanes find most of every large group; a second round looks through the other lanes for what
+    The first keys find most of every large group; a second round looks by the other keys for what
     the first has not connected, so a large group does not meet again in each of them.
     """
-    n = wide.count()
+    bits, n = key_plan(wide.count(), share)
+    early = math.ceil(FIRST * n)
     found, roots = [], None
-    for lanes in (range(FIRST_LANES), range(FIRST_LANES, LANES)):
+    for numbers in (range(early), range(early, n)):
         if roots is None:
             grouped = wide.withColumn("grp", F.col("node"))
-            met = candidates(grouped, n, lanes).union(rare_candidates(wide))
+            met = candidates(grouped, bits, numbers).union(rare_candidates(wide))
         else:
             own = roots.select(F.col("node").alias("v"), "root")
             grouped = written(wide.join(own, wide["node"] == own["v"], "left").select("node", "n", "bits", F.coalesce("root", "node").alias("grp")), "grouped")
-            met = candidates(grouped, n, lanes)
+            met = candidates(grouped, bits, numbers)
         found.append(written(similar_links(written(met, "met"), grouped, rows, names, width, share), "similar"))
         links = found[0] if len(found) == 1 else found[0].union(found[1])
         roots = written(connected_components(links), "roots")

@@ -218,3 +218,35 @@ def test_short_texts_are_compared_on_their_sets(spark):
     docs = spark.createDataFrame(list(enumerate(nine + twelve + copies + others)), "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
     assert kept == {*range(1000), *range(1500, 2000)}
+
+
+@pytest.mark.parametrize("n", [1, 10**5, 3 * 10**6, 10**8])
+def test_keys_keep_buckets_small_and_meet(n):
+    """However many fingerprints there are, a bucket has few unlike ones, and pairs at the threshold meet."""
+    width, number = simhash.key_plan(n, 0.8)
+    assert n / 2**width <= simhash.KEY_ROWS
+    pieces = [simhash.key_windows(k, width) for k in range(number)]
+    bits = [np.concatenate([np.arange(at, at + m) for at, m in key]) for key in pieces]
+    assert all(len(set(b)) == width and max(b) < 64 * simhash.PARTS for b in bits) and len({tuple(b) for b in bits}) == number
+    differ = np.random.default_rng(n).random((8000, 64 * simhash.PARTS)) < np.arccos(8 / 9) / np.pi
+    met = np.zeros(len(differ), bool)
+    for b in bits:
+        met |= ~differ[:, b].any(axis=1)
+    assert met.mean() >= 0.995
+
+
+@pytest.mark.parametrize("bucket_rows", [8, 32768])
+def test_clusters_hold_the_near_pairs(spark, bucket_rows):
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 2, (40, 128))
+    bits = np.repeat(base, 5, axis=0) ^ (rnd.random((200, 128)) < 0.06)
+    checks = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+    block = [*(k // 50 for k in range(190)), *range(100, 110)]  # the last ten are alone
+    rows = [(b, b // 2, k, int(x), int(y), k) for k, (b, (x, y)) in enumerate(zip(block, checks, strict=True))]
+    codes = spark.createDataFrame(rows, "block long, coarse long, node long, c1 long, c2 long, grp long")
+    met = simhash.near_clusters(codes, 20, 40, bucket_rows).toPandas().groupby("cluster")["node"].apply(set).tolist()
+    far = (bits[:, None] != bits[None]).sum(axis=2)
+    near = [(a, b) for a in range(200) for b in range(a) if block[a] == block[b] and far[a, b] <= 40 and (bits[a, :64] != bits[b, :64]).sum() <= 20]
+    assert len(near) >= 300 and all(any({a, b} <= c for c in met) for a, b in near)
+    assert max(map(len, met)) <= 5
+    assert simhash.near_clusters(codes.where("block >= 100"), 20, 40).collect() == []
