@@ -134,3 +134,7 @@ def test_relative_time(spark):
 def test_rounding_halves_go_up(spark):
     rows = spark.createDataFrame([(x,) for x in (0.5, 1.5, -0.5, -1.5, 2.4)], "x double").select(dates.rounded(F.col("x")).alias("r")).collect()
     assert [r["r"] for r in rows] == [1, 2, 0, -1, 2]
+
+
+def test_entity_without_a_semicolon():
+    assert html.text_of("<title>a &amp</title><p>b") == "a & b"
